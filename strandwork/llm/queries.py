@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strandwork.llm import p1_neighbours as p1, p6_clusters as p6
+from strandwork.llm import p1_neighbours as p1, p6_clusters as p6, p7_tokens as p7, p8_packing as p8
 
 
 def queries() -> dict:
-    return {"p1_found": p1.p1_found, "p6_found": p6.p6_found, "p6_clusters": p6.p6_clusters}
+    return {"p1_found": p1.p1_found, "p6_found": p6.p6_found, "p6_clusters": p6.p6_clusters, "p7_ids": p7.p7_ids, "p8_containers": p8.p8_containers}
 
 
 def oracle_sql() -> dict:
