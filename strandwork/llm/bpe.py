@@ -33,7 +33,13 @@ class TrieEncoder:
         pairs = (line.split() for line in ranks.splitlines() if line)
         self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         self.bytes = {i: b for b, i in self.rank.items()}
-        self.longest = max(map(len, self.rank))
+        #: For each ending of three bytes, the lengths of the tokens that can end there, longest first.
+        self._lengths: dict[bytes, list[int]] = {}
+        for b in sorted(self.rank, key=len, reverse=True):
+            if len(b) > 2 and (own := self._lengths.setdefault(b[-3:], []))[-1:] != [len(b)]:
+                own.append(len(b))
+        for end, own in self._lengths.items():
+            own += [2, 1] if end[1:] in self.rank else [1]
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._apart: dict[tuple[int, int], bool] = {}
         self._words: dict[str, np.ndarray] = {}
@@ -91,7 +97,7 @@ class TrieEncoder:
             for b in w.encode():
                 node = node.setdefault(b, {})
             node[-1] = w
-        rank, apart, longest = self.rank, self.apart, self.longest
+        rank, apart, lengths = self.rank, self.apart, self._lengths
         path = bytearray()
         last: list[int] = []  # last[i]: last token of the encoding of path[: i + 1]
         size: list[int] = []
@@ -115,9 +121,12 @@ class TrieEncoder:
                 self._words[child] = np.array(ids[::-1], dtype=np.int32)
                 continue
             path.append(b)
-            n = len(path)
-            for k in range(min(n, longest), 0, -1):
-                t = rank.get(bytes(path[n - k :]))
+            prefix = bytes(path)
+            n = len(prefix)
+            for k in lengths.get(prefix[-3:], (2, 1)):
+                if k > n:
+                    continue
+                t = rank.get(prefix[n - k :])
                 if t is not None and (k == n or apart(last[n - k - 1], t)):
                     last.append(t)
                     size.append(k)
