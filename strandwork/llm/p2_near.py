@@ -8,9 +8,7 @@ sequences, ordered from rare to frequent by counts over the whole corpus: a reco
 pivot, and its window, the set bound that replaces the triangle inequality, replicates it to the regions of its next
 pivots: two records within the radius share at least ``shared`` of the first ``prefix`` (see ``window``). Regions of frequent
 pivots are split recursively into pairs of blocks. A pair's common regions are counted; pairs under the bound are out.
-Inside the families of records that remain, pivots are documents: distances to the family's pivot are
-computed once, and the triangle inequality accepts or rejects pairs; only what it leaves open is compared. The result is
-exact.
+The remaining pairs are compared set by set, so the result is exact.
 
 Defined results: null texts, texts with fewer than ``LEAST`` tokens and null ids give no row; equal sets are one class
 (copies: see ``expand_pairs``); repeated rows count once; an empty table gives no rows; extra columns are ignored."""
@@ -29,8 +27,10 @@ from strandwork.llm.textpairs import expand_pairs, mix
 from strandwork.session import materialize, table
 
 SIMILARITY, WORDS, LEAST = 0.6, 3, 40
-SKETCH = 1 << 18
+SKETCH = 1 << 19
 BLOCK = 512
+#: A pivot counted more often than this, and than four times the mean count of a sketch cell, has its region split.
+HOT = 2000
 _TOKEN = re.compile(r"[a-z0-9_]+").findall
 _VOCABULARY: dict[str, int] = {}
 
@@ -68,12 +68,11 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def window(n: np.ndarray | int, similarity: float):
-    """(prefix, shared): records x, y at or over the similarity, |x| = n, share at least min(shared(x), shared(y)) of
-    their first prefix(x), prefix(y) elements in any common order.
+    """(prefix, shared): records x and y at or over the similarity share at least min(shared(x), shared(y)) of the elements
+    in both their prefixes, in any common order; n is the record's size.
 
-    |x and y| >= need(n) = ceil(similarity * n). Let k = shared(x) <= shared(y), and suppose fewer than k common elements in both prefixes. The record whose
-    prefix ends first in the order, say z, has all its prefix elements before the other's end, so fewer than k of these
-    are common, hence more than need(z) - k common ones lie in its suffix of n - prefix = need(z) - shared(z) <= need(z) - k elements: a contradiction."""
+    |x and y| >= need(x) = ceil(similarity * |x|), and x's suffix has need(x) - shared(x) elements, so at least shared(x)
+    common elements, the first ones in the order, lie in x's prefix; likewise for y. The first min(shared(x), shared(y)) common elements are in both."""
     need = np.ceil(np.asarray(n) * similarity - 1e-9).astype(np.int64)
     shared = np.maximum(1, need // 6)
     return n - need + shared, shared
@@ -82,21 +81,43 @@ def window(n: np.ndarray | int, similarity: float):
 def _sketch(salts):
     def run(batches):
         total = np.zeros(SKETCH, dtype=np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             for kind, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 s = shingles(text, salt=salts[kind])
                 if s is not None:
-                    total += 0 if not len(s) else np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=0)[:0].sum()
-                    np.add.at(total, (s % np.uint64(SKETCH)).astype(np.int64), 1)
+                    held.append(s % np.uint64(SKETCH))
+            if held:
+                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
+                held = []
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     return run
 
 
+def split_hot(pivot, node: int, weight, hot: int):
+    """(region, side) of the copies of one record: a frequent pivot's region becomes pairs of blocks of records.
+
+    Records on the same side (1 or 2) of a pair of different blocks meet elsewhere; side 0 meets everyone."""
+    often = weight > hot
+    if not often.any():
+        return pivot, np.zeros(len(pivot), dtype=np.int8)
+    regions, sides = [pivot[~often]], [np.zeros(int((~often).sum()), dtype=np.int8)]
+    for p, w in zip(pivot[often], weight[often].tolist()):
+        blocks = -(-w // hot)
+        own = (node & 0xFFFFFFFF) % blocks
+        other = np.arange(blocks)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        regions.append(mix((p + (low * blocks + high + 1).astype(np.uint64))))
+        sides.append(np.where(other == own, 0, np.where(low == own, 1, 2)).astype(np.int8))
+    return np.concatenate(regions), np.concatenate(sides)
+
+
 def _regions(salts, counts, similarity):
     def run(batches):
         weight = counts.value
+        hot = int(max(HOT, 4 * weight.mean()))
         seen: set[int] = set()
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
@@ -114,28 +135,29 @@ def _regions(salts, counts, similarity):
                 seen.add(node)
                 w = weight[(s % np.uint64(SKETCH)).astype(np.int64)]
                 prefix, shared = window(len(s), similarity)
-                first = s[np.lexsort((s, w))[: int(prefix)]]
-                cols[0].append(first.view(np.int64))
-                cols[1].append(np.full(len(first), node, dtype=np.int64))
-                cols[2].append(np.full(len(first), len(s), dtype=np.int32))
+                first = np.lexsort((s, w))[: int(prefix)]
+                region, side = split_hot(s[first], node, w[first], hot)
+                cols[0].append(region.view(np.int64))
+                cols[1].append(np.full(len(region), node, dtype=np.int64))
+                cols[2].append(np.full(len(region), len(s), dtype=np.int32))
+                cols[3].append(side)
             if ids:
                 none = np.zeros(len(ids), dtype=np.int64)
-                a = [np.concatenate([none, *cols[0]]), np.concatenate([np.array(nodes, dtype=np.int64), *cols[1]]), np.concatenate([none.astype(np.int32), *cols[2]])]
+                a = [np.concatenate([none, *cols[0]]), np.concatenate([np.array(nodes, dtype=np.int64), *cols[1]]), np.concatenate([none.astype(np.int32), *cols[2]]), np.concatenate([none.astype(np.int8), *cols[3]])]
                 key = pa.array(ids + [None] * (len(a[0]) - len(ids)), pa.int64())
                 kind = pa.array(np.concatenate([np.array(kinds, dtype=np.int8), np.full(len(a[0]) - len(ids), -1, dtype=np.int8)]))
-                yield pa.RecordBatch.from_arrays([kind, key, *map(pa.array, a)], names=["kind", "id", "pivot", "node", "n"])
+                yield pa.RecordBatch.from_arrays([kind, key, *map(pa.array, a)], names=["kind", "id", "pivot", "node", "n", "side"])
 
     return run
 
 
 def _gather(similarity):
-    """Whole shuffle partitions of (kind, id, pivot, node, n): members pass through, regions give counted pairs."""
+    """Whole shuffle partitions of (kind, id, pivot, node, n, side): members pass through, regions give counted pairs."""
 
-    def emit(kind, a, b, n):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), kind, dtype=np.int8), a, b, n.astype(np.int32))], names=["kind", "a", "b", "n"])
+    names = ["kind", "a", "b", "n", "bound"]
 
     def run(batches):
-        pivots, nodes, sizes = [], [], []
+        pivots, nodes, sizes, sides = [], [], [], []
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             own = kind >= 0
@@ -146,22 +168,23 @@ def _gather(similarity):
             pivots.append(rest.column("pivot").to_numpy())
             nodes.append(rest.column("node").to_numpy())
             sizes.append(rest.column("n").to_numpy())
+            sides.append(rest.column("side").to_numpy())
         if not pivots:
             return
-        p, x, n = np.concatenate(pivots), np.concatenate(nodes), np.concatenate(sizes)
-        del pivots, nodes, sizes
+        p, x, n, side = (np.concatenate(c) for c in (pivots, nodes, sizes, sides))
+        del pivots, nodes, sizes, sides
         order = np.lexsort((x, p))
-        p, x, n = p[order], x[order], n[order]
+        p, x, n, side = p[order], x[order], n[order], side[order]
         new = np.r_[True, (p[1:] != p[:-1]) | (x[1:] != x[:-1])]  # a class sent by several scan partitions
-        p, x, n = p[new], x[new], n[new]
+        p, x, n, side = p[new], x[new], n[new], side[new]
         start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, np.int64)
         size = np.diff(np.r_[start, len(p)])
-        yield from counted(x, n, start, size)
+        yield from counted(x, n, side, start, size)
 
     def emit_members(some):
-        return pa.RecordBatch.from_arrays([some.column("kind"), some.column("node"), some.column("id"), some.column("n")], names=["kind", "a", "b", "n"])
+        return pa.RecordBatch.from_arrays([some.column("kind"), some.column("node"), some.column("id"), some.column("n"), some.column("n")], names=names)
 
-    def counted(x, n, start, size, most=4_000_000):
+    def counted(x, n, side, start, size, most=4_000_000):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         amount = 0
         for width in np.unique(size[size > 1]):
@@ -174,7 +197,7 @@ def _gather(similarity):
                 tiles = (tile for r in rows for tile in blocks(r, int(width)))
             for a, b in tiles:
                 low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                fit = low >= similarity * high - 1e-9
+                fit = (low >= similarity * high - 1e-9) & ((side[a] == 0) | (side[a] != side[b]))
                 a, b = a[fit], b[fit]
                 held.append((a, b))
                 amount += len(a)
@@ -199,8 +222,22 @@ def _gather(similarity):
         l, r, least = l[order], r[order], least[order]
         new = np.flatnonzero(np.r_[True, (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
         count = np.diff(np.r_[new, len(l)])
-        # kind -1: a pair met ``count`` times here; its bound rides in the high half
-        return emit(-1, l[new], r[new], count + (least[new] << 16))
+        columns = (np.full(len(new), -1, dtype=np.int8), l[new], r[new], count.astype(np.int32), least[new].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return run
+
+
+def _confirm(salts):
+    """Of (node, kind, text) rows those whose text is of that class, should an id have several texts."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for node, kind, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(text, salt=salts[kind])
+                keep.append(s is not None and set_hash(s) == node)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["node", "text"])
 
     return run
 
@@ -233,27 +270,22 @@ def near_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     weight = np.zeros(SKETCH, dtype=np.int64)
     weight[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     counts = spark.sparkContext.broadcast(weight)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.mapInArrow(_regions(salts, counts, similarity), "kind byte, id long, pivot long, node long, n int")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.mapInArrow(_regions(salts, counts, similarity), "kind byte, id long, pivot long, node long, n int, side byte")
     region = F.when(F.col("kind") >= 0, F.col("id")).otherwise(F.col("pivot"))
-    gathered = sent.repartition(parts, F.xxhash64(region)).mapInArrow(_gather(similarity), "kind byte, a long, b long, n int")
+    gathered = sent.repartition(parts, F.xxhash64(region)).mapInArrow(_gather(similarity), "kind byte, a long, b long, n int, bound int")
     found = materialize(gathered, "regions")
-    pairs = found.where("kind = -1").groupBy(F.col("a").alias("l"), F.col("b").alias("r"))
-    pairs = pairs.agg(F.sum(F.col("n").bitwiseAND(0xFFFF)).alias("met"), F.max(F.shiftright("n", 16)).alias("bound")).where("met >= bound").select("l", "r")
+    pairs = found.where("kind = -1").groupBy(F.col("a").alias("l"), F.col("b").alias("r")).agg(F.sum("n").alias("met"), F.max("bound").alias("bound"))
+    candidates = materialize(pairs.where("met >= bound").select("l", "r"), "candidates")
     members = found.where("kind >= 0").select("kind", F.col("a").alias("node"), F.col("b").alias("id")).distinct()
-    keyed = members.withColumn("id", F.col("id") * 8 + F.col("kind"))
-    tagged = rows.select((F.col("id") * 8 + F.col("kind")).alias("id"), "text")
-    open_ = materialize(pairs, "candidates")
-    first = keyed.select("node", "id")
-    some = tagged.join(first, "id").select("node", "id", "text")
-    exact = pair_texts(open_, first, some).mapInArrow(_verify(similarity), "l long, r long")
-    return exact, members
+    both = pair_texts(candidates, members, rows, _confirm(salts))
+    return both.mapInArrow(_verify(similarity), "l long, r long"), members
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.lit(0).cast("byte").alias("kind"), F.col("doc_id").alias("id"), F.col("raw_text").alias("text"))
     c = table(spark, sf_dir, "chunks").select(F.lit(1).cast("byte").alias("kind"), F.col("chunk_id").alias("id"), "text")
     pairs, members = near_pairs(d.unionByName(c))
-    found = expand_pairs(materialize(pairs, "pairs"), members.select("node", (F.col("id") * 8 + F.col("kind")).alias("id")))
-    kind = F.when(F.pmod("left_id", F.lit(8)) == 0, "document").otherwise("chunk")
-    return found.select(kind.alias("kind"), F.expr("left_id div 8").alias("left_id"), F.expr("right_id div 8").alias("right_id"))
+    found = expand_pairs(materialize(pairs, "pairs"), members.select("node", F.struct("kind", "id").alias("id")))
+    kind = F.when(F.col("left_id.kind") == 0, "document").otherwise("chunk")
+    return found.select(kind.alias("kind"), F.col("left_id.id").alias("left_id"), F.col("right_id.id").alias("right_id"))

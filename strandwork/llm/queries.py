@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from strandwork.llm import p1_neighbours as p1, p6_clusters as p6, p7_tokens as p7, p8_packing as p8
+from strandwork.llm import p1_neighbours as p1, p2_near as p2, p6_clusters as p6, p7_tokens as p7, p8_packing as p8, p9_spans as p9
 
 
 def queries() -> dict:
-    return {"p1_found": p1.p1_found, "p6_found": p6.p6_found, "p6_clusters": p6.p6_clusters, "p7_ids": p7.p7_ids, "p8_containers": p8.p8_containers}
+    return {
+        "p1_found": p1.p1_found,
+        "p2_found": p2.p2_found,
+        "p6_found": p6.p6_found,
+        "p6_clusters": p6.p6_clusters,
+        "p7_ids": p7.p7_ids,
+        "p8_containers": p8.p8_containers,
+        "p9_found": p9.p9_found,
+    }
 
 
 def oracle_sql() -> dict:
