@@ -31,7 +31,7 @@ def token_stats(s, d):
 
 
 def token_estimate(s, d):
-    return _chunks(s, d).select("chunk_id", "chunk_index", T.token_estimate(F.col("text")).alias("estimate"), (T.token_estimate(F.col("text")) - F.col("token_estimate")).alias("off_by"))
+    return _chunks(s, d).select("chunk_id", "chunk_index", T.token_estimate(F.col("text")).alias("estimate"), (T.token_estimate(F.col("text")) - F.coalesce("token_estimate", F.lit(0))).alias("off_by"))
 
 
 def char_trigrams(s, d):
@@ -119,7 +119,7 @@ def rrf_fusion(s, d):
     e = Engine.from_tables(s, d)
     q = vectors.latest_query(table(s, d, "query_embeddings"))
     fused = fusion.rrf(e.lexical(X.QUERIES[:1]), e.vector(X.QUERIES[0][0], q))
-    return fused.select("query_id", "chunk_id", "fts_rank", "vector_rank", F.round("rrf", 8).alias("rrf"))
+    return fused.select("query_id", "chunk_id", F.coalesce("fts_rank", F.lit(0)).alias("fts_rank"), F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), F.round("rrf", 8).alias("rrf"))
 
 
 def hybrid_packet(s, d):
@@ -169,7 +169,7 @@ def merge_runs(s, d):
     e = Engine.from_tables(s, d)
     rows = e.sources().where("text IS NOT NULL").withColumn("final_score", F.col("chunk_index").cast("double"))
     m = fusion.merge_runs(rows.where("chunk_index % 4 <> 3"), ["doc_id", "source"])
-    return m.select("doc_id", "first_index", "merged", "chunk_id", "token_estimate", "final_score", F.md5("text").alias("digest"))
+    return m.select("doc_id", "first_index", "merged", "chunk_id", F.coalesce("token_estimate", F.lit(0)).alias("token_estimate"), "final_score", F.md5("text").alias("digest"))
 
 
 def budget_pack(s, d):
@@ -191,7 +191,7 @@ def upsert_documents(s, d):
     """The latest row of each path replaces the stale ones."""
     docs = _docs(s, d).where("source IS NOT NULL")
     order = [F.desc(F.coalesce("updated_at", "created_at")), F.desc("doc_id")]
-    return lifecycle.latest(docs, ["source"], order).select("source", "doc_id", F.length("cleaned_text").alias("n_clean"))
+    return lifecycle.latest(docs, ["source"], order).select("source", "doc_id", F.coalesce(F.length("cleaned_text"), F.lit(-1)).alias("n_clean"))
 
 
 def sync_diff(s, d):
@@ -224,7 +224,7 @@ def index_stats(s, d):
 
 
 def time_range(s, d):
-    return _docs(s, d).agg(F.min("created_at").alias("first"), F.max("updated_at").alias("last"), F.count("*").alias("n"))
+    return _docs(s, d).agg(F.unix_micros(F.min("created_at")).alias("first"), F.unix_micros(F.max("updated_at")).alias("last"), F.count("*").alias("n"))
 
 
 def backend_counts(s, d):
