@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from strandwork.functions import text as T
 
 
-@F.pandas_udf("string")
 def _decode(content: pd.Series) -> pd.Series:
     """UTF-8, else UTF-16, else Latin-1."""
 
@@ -29,7 +28,7 @@ def read_files(spark: SparkSession, path: str, skip_minified: bool = True) -> Da
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     inside = ~F.exists(F.split("path", "/"), lambda d: d.isin(T.SKIPPED_DIRS))
     kept = files.where(inside & T.is_text_file(F.col("path")) & ~T.is_skipped(F.col("path"), F.col("length")))
-    rows = kept.select(F.col("path").alias("source"), _decode("content").alias("raw_text"), F.col("modificationTime").cast("double").alias("file_mtime"), F.col("length").alias("size"))
+    rows = kept.select(F.col("path").alias("source"), F.pandas_udf(_decode, "string")("content").alias("raw_text"), F.col("modificationTime").cast("double").alias("file_mtime"), F.col("length").alias("size"))
     return rows.where(~T.is_minified(F.col("raw_text"))) if skip_minified else rows
 
 
