@@ -1,12 +1,12 @@
 """p2: near-duplicate records with small edits: an exact Jaccard self-join in recursive regions.
 
-Records are sets of 3-token sequences; distance is 1 - |common| / |all|; pairs within ``RADIUS`` are wanted.
+Records are sets of 3-token sequences; distance is 1 - |common| / |all|; pairs at or over ``SIMILARITY`` are wanted.
 
 Regions: with documents as pivots the windows of a metric-space join can't shrink here, as nearly every distance between a
 document and a pivot lies near 1, so that every window holds everything (README). The pivots are therefore single
 sequences, ordered from rare to frequent by counts over the whole corpus: a record lies in the region of its rarest
 pivot, and its window, the set bound that replaces the triangle inequality, replicates it to the regions of its next
-pivots: two records within the radius share at least ``shared`` of the first ``prefix`` (see ``window``). Regions of frequent
+pivots: two similar records share at least ``least_met`` of the pivots in both prefixes (see ``window``). Regions of frequent
 pivots are split recursively into pairs of blocks. A pair's common regions are counted; pairs under the bound are out.
 The remaining pairs are compared set by set, so the result is exact.
 
@@ -68,14 +68,22 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def window(n: np.ndarray | int, similarity: float):
-    """(prefix, shared): records x and y at or over the similarity share at least min(shared(x), shared(y)) of the elements
-    in both their prefixes, in any common order; n is the record's size.
+    """(prefix, suffix): sizes of the part of a record of n elements that is sent to regions, and of the rest.
 
-    |x and y| >= need(x) = ceil(similarity * |x|), and x's suffix has need(x) - shared(x) elements, so at least shared(x)
-    common elements, the first ones in the order, lie in x's prefix; likewise for y. The first min(shared(x), shared(y)) common elements are in both."""
+    Two records at or over the similarity have at least need(n) = ceil(similarity * n) elements in common. The suffix is a little
+    shorter than that, so that similar records meet more than once."""
     need = np.ceil(np.asarray(n) * similarity - 1e-9).astype(np.int64)
-    shared = np.maximum(1, need // 6)
-    return n - need + shared, shared
+    suffix = need - np.maximum(1, need // 16)
+    return n - suffix, suffix
+
+
+def least_met(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """How many elements two records of sizes a and b at or over the similarity share, at least, in both their prefixes.
+
+    They have common = ceil(similarity / (1 + similarity) * (a + b)) elements in common, of which at most suffix(a) are in the first's suffix; so the first common -
+    suffix(a) in the order lie in its prefix, and likewise for b. The fewer of these are in both."""
+    common = np.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
+    return np.maximum(1, common - np.maximum(window(a, similarity)[1], window(b, similarity)[1]))
 
 
 def _sketch(salts):
@@ -134,7 +142,7 @@ def _regions(salts, counts, similarity):
                     continue
                 seen.add(node)
                 w = weight[(s % np.uint64(SKETCH)).astype(np.int64)]
-                prefix, shared = window(len(s), similarity)
+                prefix, _ = window(len(s), similarity)
                 first = np.lexsort((s, w))[: int(prefix)]
                 region, side = split_hot(s[first], node, w[first], hot)
                 cols[0].append(region.view(np.int64))
@@ -217,7 +225,7 @@ def _gather(similarity):
     def fold(x, n, held):
         a, b = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         l, r = np.minimum(x[a], x[b]), np.maximum(x[a], x[b])
-        least = np.minimum(window(n[a], similarity)[1], window(n[b], similarity)[1])
+        least = least_met(n[a].astype(np.int64), n[b].astype(np.int64), similarity)
         order = np.lexsort((r, l))
         l, r, least = l[order], r[order], least[order]
         new = np.flatnonzero(np.r_[True, (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
