@@ -96,11 +96,11 @@ def _cell(shared, k, floor, block=256):
     def search(key, pdf):
         space, cell = key
         if cell < 0:
-            return pd.DataFrame({"kind": pdf["kind"] + 1, "a": pdf["vh"], "b": None, "cosine": None, "key": pdf["key"]})
+            return pd.DataFrame({"kind": pdf["kind"] + 1, "a": pdf["vh"], "b": None, "cosine": None, "key": pdf["key"].astype(object)})
         pdf = pdf.drop_duplicates("vh")
         h = pdf["vh"].to_numpy()
         if len(h) < 2:
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "cosine": [], "key": []})
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "cosine": [], "key": np.array([], dtype=object)})
         x = V.unpack(pdf["blob"], int(space.partition("\x1f")[0]))
         books = shared.value.get(space, (None, None))[1]
         codes = None if books is None else np.frombuffer(b"".join(pdf["code"]), dtype=np.uint8).reshape(len(h), -1)

@@ -77,11 +77,11 @@ def _cell(threshold):
     def link(key, pdf):
         space, cell = key
         if cell < 0:
-            return pd.DataFrame({"kind": 1, "a": pdf["vh"], "b": None, "key": pdf["key"], "weight": 0})
+            return pd.DataFrame({"kind": 1, "a": pdf["vh"], "b": None, "key": pdf["key"].astype(object), "weight": 0})
         pdf = pdf.drop_duplicates("vh").sort_values("vh")
         h = pdf["vh"].to_numpy()
         if len(h) < 2:
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "key": [], "weight": []})
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "key": np.array([], dtype=object), "weight": []})
         label, degree = local_groups(V.unpack(pdf["blob"], int(space.partition("\x1f")[0])), threshold)
         joined = degree > 0
         return pd.DataFrame({"kind": 0, "a": h[joined], "b": h[label[joined]], "key": None, "weight": degree[joined].astype(np.int32)})
