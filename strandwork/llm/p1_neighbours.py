@@ -126,6 +126,23 @@ def _cell(shared, k, floor, block=256):
     return search
 
 
+def _ranked(found: DataFrame, k: int, floor: float, asks=None) -> DataFrame:
+    """Lists of the members of each class from scored class pairs; ``asks`` (a Column over kind and key) picks the rows that get one."""
+    members = found.where("kind > 0").select((F.col("kind") - 1).alias("kind"), F.col("a").alias("vh"), "key").distinct()
+    ids = members.where("kind = 0").select("vh", F.col("key").cast("long").alias("id"))
+    first = ids.withColumn("n", F.row_number().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    near = pairs.join(first.withColumnRenamed("vh", "b"), "b").select("a", "cosine", "id")
+    if floor <= 1:
+        near = near.unionByName(first.select(F.col("vh").alias("a"), F.lit(1.0).alias("cosine"), "id"))
+    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "id")
+    lists = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    lists = lists.groupBy(F.col("a").alias("vh")).agg(F.sort_array(F.collect_list(F.struct("n", "id", "cosine"))).alias("near"))
+    own = F.filter("near", lambda x: (F.col("kind") == 1) | (x["id"].cast("string") != F.col("key")))
+    each = (members if asks is None else members.where(asks)).join(lists, "vh").select("kind", "key", F.posexplode(F.slice(own, 1, k)).alias("pos", "x"))
+    return each.select(F.col("kind").alias("left_kind"), F.col("key").alias("left_key"), F.col("x.id").alias("right_id"), F.col("x.cosine").alias("cosine"), (F.col("pos") + 1).alias("rank"))
+
+
 def nearest_vectors(chunks: DataFrame, queries: DataFrame | None = None, k: int = 10, floor: float = -2.0, probes: int = PROBES) -> DataFrame:
     """(left_kind 0 chunk | 1 query, left_key string, right_id long, cosine, rank): the lists of all rows over all chunk vectors."""
     rows = V.vector_rows(chunks, F.col("chunk_id"), 0)
@@ -140,19 +157,89 @@ def nearest_vectors(chunks: DataFrame, queries: DataFrame | None = None, k: int
     )
     routed = rows.mapInPandas(_router(shared, probes), _ROUTED)
     found = materialize(routed.groupBy("space", "cell").applyInPandas(_cell(shared, k, floor), _SCORED), "lists")
-    members = found.where("kind > 0").select((F.col("kind") - 1).alias("kind"), F.col("a").alias("vh"), "key").distinct()
-    ids = members.where("kind = 0").select("vh", F.col("key").cast("long").alias("id"))
-    first = ids.withColumn("n", F.row_number().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    near = pairs.join(first.withColumnRenamed("vh", "b"), "b").select("a", "cosine", "id")
-    if floor <= 1:
-        near = near.unionByName(first.select(F.col("vh").alias("a"), F.lit(1.0).alias("cosine"), "id"))
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "id")
-    lists = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    lists = lists.groupBy(F.col("a").alias("vh")).agg(F.sort_array(F.collect_list(F.struct("n", "id", "cosine"))).alias("near"))
-    own = F.filter("near", lambda x: (F.col("kind") == 1) | (x["id"].cast("string") != F.col("key")))
-    each = members.join(lists, "vh").select("kind", "key", F.posexplode(F.slice(own, 1, k)).alias("pos", "x"))
-    return each.select(F.col("kind").alias("left_kind"), F.col("key").alias("left_key"), F.col("x.id").alias("right_id"), F.col("x.cosine").alias("cosine"), (F.col("pos") + 1).alias("rank"))
+    return _ranked(found, k, floor)
+
+
+def _blocks(shared, every, blocks, shards):
+    """Every class goes to a shard in all query blocks; a class with a query goes to its block in all shards."""
+
+    def route(batches):
+        for space, hashes, blobs, x, members in V.parsed_batches(batches):
+            books = shared.value.get(space)
+            asking = {h for h, _, key in members if int(key) % every == 0}
+            parts = []
+            if len(hashes):
+                codes, norms = (None, np.zeros(len(x), np.float32)) if books is None else encode(x, books)
+                code = np.array([b""] * len(x) if codes is None else [c.tobytes() for c in codes], dtype=object)
+                blob, shard = np.array(blobs, dtype=object), (hashes % shards).astype(np.int32)
+                parts.append(pd.DataFrame({"space": space, "cell": np.tile(np.arange(blocks, dtype=np.int32), len(x)), "shard": np.repeat(shard, blocks), "vh": np.repeat(hashes, blocks), "blob": np.repeat(blob, blocks), "code": np.repeat(code, blocks), "norm": np.repeat(norms, blocks), "kind": 0, "key": None}))
+            if asking:
+                packed = dict(zip(hashes.tolist(), blobs))
+                own = np.array(sorted(asking), dtype=np.int64)
+                blob = np.array([packed.get(h) for h in own.tolist()], dtype=object)
+                fresh = np.array([b is not None for b in blob])
+                own, blob = own[fresh], blob[fresh]
+                n = len(own)
+                if n:
+                    parts.append(pd.DataFrame({"space": space, "cell": np.repeat((own // shards % blocks).astype(np.int32), shards), "shard": np.tile(np.arange(shards, dtype=np.int32), n), "vh": np.repeat(own, shards), "blob": np.repeat(blob, shards), "code": None, "norm": 0.0, "kind": 1, "key": None}))
+            if members:
+                h, _, keys = zip(*members)
+                h = np.array(h, dtype=np.int64)
+                parts.append(pd.DataFrame({"space": "", "cell": -1, "shard": ((h * 31 + np.arange(len(h))) % 199).astype(np.int32), "vh": h, "blob": None, "code": None, "norm": 0.0, "kind": 2, "key": list(keys)}))
+            yield from parts
+
+    return route
+
+
+def _scan(shared, k, depth, block=64):
+    def search(key, pdf):
+        space, cell, _ = key
+        if cell < 0:
+            return pd.DataFrame({"kind": 1, "a": pdf["vh"], "b": None, "cosine": None, "key": pdf["key"].astype(object)})
+        pdf = pdf.drop_duplicates(["kind", "vh"])
+        rows, asks = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
+        if not len(rows) or not len(asks):
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "cosine": [], "key": np.array([], dtype=object)})
+        d = int(space.partition("\x1f")[0])
+        x, q, h, ah = V.unpack(rows["blob"], d), V.unpack(asks["blob"], d), rows["vh"].to_numpy(), asks["vh"].to_numpy()
+        books = shared.value.get(space)
+        codes = None if books is None else np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(h), -1)
+        norms, few = rows["norm"].to_numpy(), min(depth, len(h))
+        out = []
+        for i in range(0, len(q), block):
+            y = q[i : i + block]
+            s = y @ x.T if codes is None else scores(y, books, codes, norms)
+            top = np.argpartition(-s, few - 1, axis=1)[:, :few]
+            exact = np.einsum("qd,qrd->qr", y, x[top], optimize=True)
+            exact[h[top] == ah[i : i + block, None]] = -2  # its own class comes from the members
+            order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
+            c, t = np.take_along_axis(exact, order, 1), np.take_along_axis(top, order, 1)
+            keep = c > -1.5
+            out.append((np.repeat(ah[i : i + block], keep.sum(1)), h[t[keep]], c[keep]))
+        a, b, c = (np.concatenate(v) for v in zip(*out))
+        return pd.DataFrame({"kind": 0, "a": a, "b": b, "cosine": c.astype(np.float64), "key": None})
+
+    return search
+
+
+def scanned_neighbours(chunks: DataFrame, k: int = 10, every: int = 20, depth: int = 1024, shard: int = 16384, block: int = 16384) -> DataFrame:
+    """The lists of the vectors whose id is divisible by ``every``, scored against all rows in blocks, without a coarse codebook.
+
+    The stated query set is cut into blocks and the rows into shards; every code of a shard is scored through the lookup tables, and the best
+    ``depth`` of each shard are reranked exactly. For neighbours that are hardly more similar than chance no cell can stand in for this."""
+    rows = V.vector_rows(chunks, F.col("chunk_id"), 0)
+    n = chunks.count()
+    sample = V.fit_sample(rows, n, min(SAMPLE, max(2048, n // 15)))
+    shared = rows.sparkSession.sparkContext.broadcast({s: train(x) for s, x in sample.items() if len(x) >= 256})
+    asked = chunks.where(F.col("chunk_id") % every == 0).count()
+    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
+    sent = rows.mapInPandas(_blocks(shared, every, blocks, shards), _ROUTED.replace("cell int", "cell int, shard int"))
+    found = materialize(sent.groupBy("space", "cell", "shard").applyInPandas(_scan(shared, k, depth), _SCORED), "lists")
+    return _ranked(found, k, -2.0, F.expr(f"try_cast(key AS bigint) % {every} = 0"))
+
+
+def p1_lists(spark, sf_dir: str) -> DataFrame:
+    return scanned_neighbours(table(spark, sf_dir, "chunk_embeddings")).select(F.col("left_key").cast("long").alias("chunk_id"), "right_id", "cosine", "rank")
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from strandwork.llm import p6_clusters as p6, p7_tokens as p7, p8_packing as p8,
 def queries() -> dict:
     return {
         "p1_found": p1.p1_found,
+        "p1_lists": p1.p1_lists,
         "p2_found": p2.p2_found,
         "p3_found": p3.p3_found,
         "p3_signs": p3.p3_signs,

@@ -46,6 +46,19 @@ def test_p1(spark, data):
     assert p1_neighbours.nearest_vectors(df.limit(0)).count() == 0
 
 
+def test_p1_scan(spark, data):
+    x, df = data
+    lists = {}
+    for r in p1_neighbours.scanned_neighbours(df, k=5, every=20, shard=100, block=7).collect():
+        lists.setdefault(int(r.left_key), {})[r.rank] = r.right_id
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    assert lists.keys() == set(range(0, 300, 20))
+    hits = sum(len(set(v.values()) & set(np.argsort(-s[i], kind="stable")[:5].tolist())) for i, v in lists.items())
+    assert all(sorted(v) == [1, 2, 3, 4, 5] for v in lists.values()) and hits >= 0.97 * 5 * len(lists)
+    assert p1_neighbours.scanned_neighbours(df.limit(0)).count() == 0
+
+
 def test_p1_quantiser():
     rng = np.random.default_rng(1)
     x = vectors(rng, 800, 24, 40).astype(np.float32)
