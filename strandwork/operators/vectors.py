@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from strandwork.functions import text as T
 from strandwork.operators.fusion import Weights
+from strandwork.session import drop_materialized, materialize
 
 #: Names of embedding backends; any other name means hash.
 BACKENDS = ("hash", "onnx", "ml")
@@ -90,17 +91,63 @@ def kmeans_clusters(vectors: DataFrame, k: int, key: str = "chunk_id", seed: int
     return KMeans(k=k, seed=seed, maxIter=rounds).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
-def ivf_top_k(vectors: DataFrame, query: list[float], k: int = 20, probes: int = 16, key: str = "chunk_id", seed: int = 42) -> DataFrame:
-    """(key, score): inverted lists by k-means, of which the ``probes`` nearest to the query are scanned exactly."""
+def ivf_index(vectors: DataFrame, key: str = "chunk_id", seed: int = 42) -> tuple[DataFrame, np.ndarray, dict[int, float]]:
+    """(rows (key, unit vector, list), unit centres, by list the least cosine of a row to its centre): inverted lists by k-means."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
+    kind = vectors.schema[key].dataType.simpleString()
+    vectors = materialize(vectors.select(key, "vector"), "vectors")
     n = vectors.count()
-    norm = F.sqrt(T.dot(F.col("vector"), F.col("vector")))
-    unit = vectors.select(key, F.transform("vector", lambda x: x / norm).alias("vector"))
     lists = max(1, min(int(n**0.5), 256))
-    rows = unit.join(_as_ml(unit, key), key)
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(rows.sample(min(1.0, 20_000 / max(1, n)), seed))
+
+    def units(pdf):
+        x = np.stack(pdf["vector"])
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def scaled(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"vector": list(units(pdf))})
+
+    some = vectors.select("vector").sample(min(1.0, 20_000 / max(1, n)), seed).mapInPandas(scaled, "vector array<double>")
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(some.select(array_to_vector("vector").alias("features")))
+    centres = np.array([c / max(np.linalg.norm(c), 1e-12) for c in model.clusterCenters()])
+
+    def placed(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = units(pdf)
+                near = x @ centres.T
+                yield pd.DataFrame({key: pdf[key], "vector": list(x), "list": near.argmax(axis=1).astype(np.int32), "near": near.max(axis=1)})
+
+    listed = materialize(vectors.mapInPandas(placed, f"{key} {kind}, vector array<double>, list int, near double"), "inverted")
+    drop_materialized(vectors)
+    least = listed.groupBy("list").agg(F.min("near").alias("least"))
+    return listed, centres, {r["list"]: r["least"] for r in least.collect()}
+
+
+def ivf_search(index: tuple[DataFrame, np.ndarray, dict[int, float]], query: list[float], k: int = 20, probes: int = 16, key: str = "chunk_id") -> DataFrame:
+    """(key, score): the exact top k. The ``probes`` nearest lists give a k-th score; every other list that can hold a row as good is scanned too.
+
+    A row is no farther from its centre, as an angle, than the farthest row of its list, which bounds the cosine of all rows of a list."""
+    listed, centres, least = index
     q = np.array(query) / np.linalg.norm(query)
-    order = np.argsort([-float(q @ c) for c in model.clusterCenters()])[:probes]
-    near = model.transform(rows).where(F.col("prediction").isin([int(i) for i in order]))
-    return near.select(key, F.greatest(F.lit(0.0), T.dot(F.col("vector"), F.array(*map(F.lit, q.tolist())))).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    near = np.clip(centres @ q, -1, 1)
+    order = sorted(least, key=lambda i: -near[i])
+
+    def best(lists):
+        score = F.greatest(F.lit(0.0), T.dot(F.col("vector"), F.array(*map(F.lit, q.tolist()))))
+        return listed.where(F.col("list").isin(lists)).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+    def bound(i):
+        return max(0.0, float(np.cos(max(0.0, np.arccos(near[i]) - np.arccos(np.clip(least[i], -1, 1))))))
+
+    found = [r.score for r in best(order[:probes]).collect()]
+    floor = min(found) if len(found) == k else 0.0
+    return best(order[:probes] + [i for i in order[probes:] if bound(i) >= floor - 1e-6])
+
+
+def ivf_top_k(vectors: DataFrame, query: list[float], k: int = 20, probes: int = 16, key: str = "chunk_id", seed: int = 42) -> DataFrame:
+    """(key, score): the exact top k by inverted lists, see ``ivf_search``."""
+    return ivf_search(ivf_index(vectors, key, seed), query, k, probes, key)

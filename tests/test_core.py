@@ -151,6 +151,16 @@ def test_vectors(spark):
     assert vectors.ivf_top_k(v, [1.0, 0.0], 3).first().chunk_id == best
 
 
+def test_ivf_is_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id long, vector array<double>")  # 38 lists, more than 16 probes
+    for q in rng.normal(size=(3, 16)):
+        want = np.argsort(-(x @ q), kind="stable")[:20]
+        assert [r.chunk_id for r in vectors.ivf_top_k(v, q.tolist()).collect()] == want.tolist()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (100, 100), (None, 3), (7, 3)], "u long, v long")
     got = {r.node: r.label for r in connected_components(edges).collect()}
