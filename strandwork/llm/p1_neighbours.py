@@ -164,7 +164,7 @@ def _blocks(shared, every, blocks, shards):
     """Every class goes to a shard in all query blocks; a class with a query goes to its block in all shards."""
 
     def route(batches):
-        for space, hashes, blobs, x, members in V.parsed_batches(batches):
+        for space, hashes, blobs, x, members in V.parsed_batches(batches, needs=lambda _, key: int(key) % every == 0):
             books = shared.value.get(space)
             asking = {h for h, _, key in members if int(key) % every == 0}
             parts = []
@@ -177,7 +177,7 @@ def _blocks(shared, every, blocks, shards):
                 packed = dict(zip(hashes.tolist(), blobs))
                 own = np.array(sorted(asking), dtype=np.int64)
                 blob = np.array([packed.get(h) for h in own.tolist()], dtype=object)
-                fresh = np.array([b is not None for b in blob])
+                fresh = np.array([b is not None for b in blob])  # the others asked in an earlier block
                 own, blob = own[fresh], blob[fresh]
                 n = len(own)
                 if n:

@@ -96,15 +96,17 @@ def nearest(x: np.ndarray, words: np.ndarray, r: int, block: int = 1024) -> np.n
     return out
 
 
-def parsed_batches(batches, size: int = 4096):
+def parsed_batches(batches, size: int = 4096, needs=None):
     """From (kind, key, space, embedding_json, dimensions) frames: (space, hashes, blobs, unit rows, members) in blocks.
 
-    ``members`` holds (class, kind, key) of every usable row; a class is in a block only the first time in this partition."""
+    ``members`` holds (class, kind, key) of every usable row; a class is in a block only the first time in this partition, and the
+    first time that a row for which ``needs(kind, key)`` holds is a member, if that is in a later block."""
     seen: set[int] = set()
+    met: set[int] = set()
     pending: dict[str, list] = {}
 
     def flush(space: str):
-        hashes, blobs, members = pending.pop(space)
+        hashes, blobs, members, _ = pending.pop(space)
         d = int(space.partition("\x1f")[0])
         return space, np.array(hashes, dtype=np.int64), blobs, unpack(blobs, d) if blobs else np.empty((0, d), np.float32), members
 
@@ -115,11 +117,15 @@ def parsed_batches(batches, size: int = 4096):
                 continue
             blob = pack(v)
             h = class_hash(space, blob)
-            box = pending.setdefault(space, [[], [], []])
-            if h not in seen:
+            box = pending.setdefault(space, [[], [], [], set()])
+            need = needs is not None and h not in met and needs(kind, key)
+            if h not in seen or (need and h not in box[3]):
                 seen.add(h)
                 box[0].append(h)
                 box[1].append(blob)
+                box[3].add(h)
+            if need:
+                met.add(h)
             box[2].append((h, kind, key))
             if len(box[2]) >= size:
                 yield flush(space)

@@ -59,6 +59,16 @@ def test_p1_scan(spark, data):
     assert p1_neighbours.scanned_neighbours(df.limit(0)).count() == 0
 
 
+def test_p1_scan_of_late_copies(spark):
+    x = np.random.default_rng(6).normal(size=(4300, 8))
+    x[-1] = x[0]
+    rows = [(20 * i + 1 if i < len(x) - 1 else 20, json.dumps(v.tolist()), "ml", 8, "m", "e") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VEC).coalesce(1)  # the copy that asks is more than one block after the first
+    got = [r.right_id for r in p1_neighbours.scanned_neighbours(df, k=5, every=20).orderBy("rank").collect()]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == [20 * int(i) + 1 for i in np.argsort(-(x[:-1] @ x[0]), kind="stable")[:5]]
+
+
 def test_p1_quantiser():
     rng = np.random.default_rng(1)
     x = vectors(rng, 800, 24, 40).astype(np.float32)
