@@ -22,6 +22,8 @@ def queries() -> dict:
         "p7_ids": p7.p7_ids,
         "p8_containers": p8.p8_containers,
         "p9_found": p9.p9_found,
+        "p9_passages": p9.p9_passages,
+        "p9_share": p9.p9_share,
     }
 
 

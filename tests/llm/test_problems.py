@@ -276,6 +276,32 @@ def test_p9(spark):
     assert p9_spans.shared_spans(df.limit(0))[0].count() == 0
 
 
+def test_p9_passages(spark):
+    rng = random.Random(19)
+    text = lambda n: "".join(rng.choice("abcdefghij \né🙂") for _ in range(n))
+    s199, s300, s900 = text(199), text(300), text(900)
+    docs = ["1" + s300 + "2" + text(90), text(50) + "3" + s300 + s900[:250] + "4", "5" + s199 + "6", text(100) + "7" + s199, s900 + text(300), s900[100:600] + text(77) + s900[400:], "short", "", None, " " * 700, " " * 450 + "x" + " " * 260, text(500)]
+    docs += [docs[0], docs[11], s300[:220] + s300[20:260] + s300[60:], "short", "ab" * 200, "b" + "ab" * 130 + "a" + "ab" * 150]
+    df = spark.createDataFrame(list(enumerate(docs)) + [(None, docs[0]), (0, docs[0]), (50, s900), (50, s900[:400])], "doc_id long, text string")
+    rows = [(i, t or "") for i, t in enumerate(docs)] + [(50, s900), (50, s900[:400])]
+    spans, share = set(), {}
+    for i, t in rows:
+        own = []
+        for a in range(len(t) - 199):
+            b = a + 199
+            while b < len(t) and any(j != i and t[a : b + 1] in u for j, u in rows):
+                b += 1
+            if b >= a + 200 and (not own or b > own[-1][1]):
+                own.append((a, b))
+        spans |= {(i, a, b - a) for a, b in own}
+        share[(i, len(t))] = len({c for a, b in own for c in range(a, b)})
+    assert {tuple(r) for r in p9_spans.shared_passages(df).collect()} == spans and len(spans) > 20
+    got = p9_spans.shared_share(df).collect()
+    assert {(r.doc_id, r.chars): r.shared for r in got} == share and len(got) == len(share)
+    assert all(r.share == (r.shared / r.chars if r.chars else 0) for r in got)
+    assert p9_spans.shared_share(df.limit(0)).count() == 0
+
+
 def test_p9_chain():
     a, b = [0, 100, 200, 50, 300], [1000, 1100, 1210, 5, 1300]
     assert p9_spans.chain(a, b, 104) == [0, 1, 2, 4] or p9_spans.chain(a, b, 104) == [0, 1, 4]
