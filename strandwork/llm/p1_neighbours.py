@@ -4,7 +4,7 @@ Codebooks: ``BOOKS`` full-dimensional codebooks of ``WORDS`` codewords are train
 sample (``SAMPLE`` vectors). Encoding: a beam of ``BEAM`` partial sums per vector keeps the best sums of codewords, and
 the norm of the reconstruction is stored. Scoring: a query's dot products with all codewords form its lookup table; a
 candidate's score is the sum of its table entries over its stored norm. The best ``RERANK`` scores of a cell are
-reranked by exact cosines. Which candidates a query scores is set by the coarse codebook: rows are routed to
+reranked by exact cosines. Candidates are classes that hold a chunk; classes of queries alone only ask. Which candidates a query scores is set by the coarse codebook: rows are routed to
 their ``probes`` nearest coarse codewords, and a query scores everything in its cells.
 
 Defined results: unusable vectors and null keys give no row; duplicate rows count once; equal vectors are each
@@ -75,7 +75,8 @@ def scores(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.
 
 def _router(shared, probes):
     def route(batches):
-        for space, hashes, blobs, x, members in V.parsed_batches(batches):
+        for space, hashes, blobs, x, members in V.parsed_batches(batches, needs=lambda kind, _: kind == 0):
+            chunks = {h for h, kind, _ in members if kind == 0}
             words, books = shared.value.get(space, (None, None))
             if len(hashes):
                 cells = np.zeros((len(x), 1), dtype=np.int32) if words is None else V.nearest(x, words, probes)
@@ -83,7 +84,7 @@ def _router(shared, probes):
                 code = [b""] * len(x) if codes is None else [c.tobytes() for c in codes]
                 r = cells.shape[1]
                 obj = lambda v: np.repeat(np.array(v, dtype=object), r)
-                yield pd.DataFrame({"space": space, "cell": cells.ravel(), "vh": np.repeat(hashes, r), "blob": obj(blobs), "code": obj(code), "norm": np.repeat(norms, r), "kind": 0, "key": None})
+                yield pd.DataFrame({"space": space, "cell": cells.ravel(), "vh": np.repeat(hashes, r), "blob": obj(blobs), "code": obj(code), "norm": np.repeat(norms, r), "kind": np.repeat([0 if h in chunks else 1 for h in hashes.tolist()], r), "key": None})
             if members:
                 h, kinds, keys = zip(*members)
                 h = np.array(h, dtype=np.int64)
@@ -97,23 +98,24 @@ def _cell(shared, k, floor, block=256):
         space, cell = key
         if cell < 0:
             return pd.DataFrame({"kind": pdf["kind"] + 1, "a": pdf["vh"], "b": None, "cosine": None, "key": pdf["key"].astype(object)})
-        pdf = pdf.drop_duplicates("vh")
-        h = pdf["vh"].to_numpy()
-        if len(h) < 2:
+        pdf = pdf.sort_values("kind", kind="stable").drop_duplicates("vh")  # classes with a chunk first: only these are candidates
+        h, n = pdf["vh"].to_numpy(), int((pdf["kind"] == 0).sum())
+        if len(h) < 2 or not n:
             return pd.DataFrame({"kind": [], "a": [], "b": [], "cosine": [], "key": np.array([], dtype=object)})
         x = V.unpack(pdf["blob"], int(space.partition("\x1f")[0]))
         books = shared.value.get(space, (None, None))[1]
         codes = None if books is None else np.frombuffer(b"".join(pdf["code"]), dtype=np.uint8).reshape(len(h), -1)
         norms = pdf["norm"].to_numpy()
-        depth = min(RERANK, len(h) - 1)
+        depth = min(RERANK, n)
         left, right, cosine = [], [], []
         for i in range(0, len(h), block):
             q = x[i : i + block]
-            at = np.arange(len(q))
-            s = q @ x.T if codes is None else scores(q, books, codes, norms)
+            at = np.arange(min(len(q), max(0, n - i)))
+            s = q @ x[:n].T if codes is None else scores(q, books, codes[:n], norms[:n])
             s[at, at + i] = -np.inf
             top = np.argpartition(-s, depth - 1, axis=1)[:, :depth]
             exact = np.einsum("qd,qrd->qr", q, x[top], optimize=True)
+            exact[top == np.arange(i, i + len(q))[:, None]] = -np.inf
             order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
             c = np.take_along_axis(exact, order, 1)
             t = np.take_along_axis(top, order, 1)
@@ -147,10 +149,9 @@ def nearest_vectors(chunks: DataFrame, queries: DataFrame | None = None, k: int
     """(left_kind 0 chunk | 1 query, left_key string, right_id long, cosine, rank): the lists of all rows over all chunk vectors."""
     rows = V.vector_rows(chunks, F.col("chunk_id"), 0)
     n = chunks.count()
+    sample = V.fit_sample(rows, n, min(SAMPLE, max(2048, n // 15)))  # of chunks: many queries in one place must not narrow its cells
     if queries is not None:
         rows = rows.unionByName(V.vector_rows(queries, F.col("query_key"), 1))
-        n += queries.count()
-    sample = V.fit_sample(rows, n, min(SAMPLE, max(2048, n // 15)))
     total = max(1, sum(map(len, sample.values())))
     shared = rows.sparkSession.sparkContext.broadcast(
         {s: (V.spread(x, V.cell_count(n * len(x) // total)), train(x) if len(x) >= 256 else None) for s, x in sample.items()}

@@ -46,6 +46,32 @@ def test_p1(spark, data):
     assert p1_neighbours.nearest_vectors(df.limit(0)).count() == 0
 
 
+def test_p1_queries_are_no_candidates(spark):
+    rng = np.random.default_rng(7)
+    chunks = np.array([[1.0, 0, 0], [0.95, 0.3, 0], [0.95, 0, 0.3]])
+    asks = chunks[0] + 0.02 * rng.normal(size=(90, 3))  # more than the 64 scores that are reranked
+    asks[0] = chunks[1]
+    row = lambda i, v: (i, json.dumps(v.tolist()), "ml", 3, "m")
+    vec = "embedding_json string, backend string, dimensions int, model_name string"
+    df = spark.createDataFrame([row(i, v) for i, v in enumerate(chunks)], "chunk_id long, " + vec)
+    queries = spark.createDataFrame([row(f"q{i}", v) for i, v in enumerate(asks)], "query_key string, " + vec)
+    got = {}
+    for r in p1_neighbours.nearest_vectors(df, queries, k=2, floor=0.9).collect():
+        got.setdefault((r.left_kind, r.left_key), {})[r.rank] = r.right_id
+    x = chunks / np.linalg.norm(chunks, axis=1, keepdims=True)
+    q = asks / np.linalg.norm(asks, axis=1, keepdims=True)
+    assert {got[(0, "0")][1], got[(0, "0")][2]} == {1, 2} and got[(0, "1")][1] == 0 and got[(0, "2")][1] == 0
+    assert all(list(dict(sorted(got[(1, f"q{i}")].items())).values()) == np.argsort(-(x @ v))[:2].tolist() for i, v in enumerate(q))
+
+
+def test_p1_class_of_query_and_later_chunk():
+    pdf = vecspace.pd.DataFrame([(1, "q", "2\x1fm\x1fml", "[1, 0]", 2)] + [(1, f"z{i}", "2\x1fm\x1fml", f"[1, {i}]", 2) for i in range(1, 4096)] + [(0, "5", "2\x1fm\x1fml", "[1, 0]", 2)], columns=["kind", "key", "space", "embedding_json", "dimensions"])
+    shared = type("Shared", (), {"value": {}})
+    sent = vecspace.pd.concat(p1_neighbours._router(shared, 4)([pdf]))
+    sent = sent[(sent["cell"] >= 0) & (sent["vh"] == sent["vh"].iloc[0])]
+    assert sorted(sent["kind"]) == [0, 1]
+
+
 def test_p1_scan(spark, data):
     x, df = data
     lists = {}
