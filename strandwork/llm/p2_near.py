@@ -10,8 +10,8 @@ pivots: two similar records share at least ``least_met`` of the pivots in both p
 pivots are split recursively into pairs of blocks. A pair's common regions are counted; pairs under the bound are out.
 The remaining pairs are compared set by set, so the result is exact.
 
-Defined results: null texts, texts with fewer than ``LEAST`` tokens and null ids give no row; equal sets are one class
-(copies: see ``expand_pairs``); repeated rows count once; an empty table gives no rows; extra columns are ignored."""
+Defined results: null texts, texts with fewer than ``LEAST`` tokens and null ids give no row; equal sets are one class, equal
+texts of a class one unit: all pairs of units are given, and only equal texts are copies in the sense of ``expand_pairs``; repeated rows count once; an empty table gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from strandwork.llm.p9_spans import pair_texts
-from strandwork.llm.textpairs import expand_pairs, mix
+from strandwork.llm.textpairs import expand_pairs, mix, self_pairs
 from strandwork.session import materialize, table
 
 SIMILARITY, WORDS, LEAST = 0.6, 3, 40
@@ -67,6 +67,10 @@ def set_hash(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True)
 
 
+def text_hash(text: str, kind: int) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass"), seed=kind), "big", signed=True)
+
+
 def window(n: np.ndarray | int, similarity: float):
     """(prefix, suffix): sizes of the part of a record of n elements that is sent to regions, and of the rest.
 
@@ -129,7 +133,7 @@ def _regions(salts, counts, similarity):
         seen: set[int] = set()
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
-            ids, nodes, kinds = [], [], []
+            ids, nodes, kinds, units = [], [], [], []
             for kind, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, salt=salts[kind])
                 if s is None:
@@ -138,6 +142,7 @@ def _regions(salts, counts, similarity):
                 ids.append(key)
                 nodes.append(node)
                 kinds.append(kind)
+                units.append(text_hash(text, kind))
                 if node in seen:
                     continue
                 seen.add(node)
@@ -151,7 +156,7 @@ def _regions(salts, counts, similarity):
                 cols[3].append(side)
             if ids:
                 none = np.zeros(len(ids), dtype=np.int64)
-                a = [np.concatenate([none, *cols[0]]), np.concatenate([np.array(nodes, dtype=np.int64), *cols[1]]), np.concatenate([none.astype(np.int32), *cols[2]]), np.concatenate([none.astype(np.int8), *cols[3]])]
+                a = [np.concatenate([np.array(units, dtype=np.int64), *cols[0]]), np.concatenate([np.array(nodes, dtype=np.int64), *cols[1]]), np.concatenate([none.astype(np.int32), *cols[2]]), np.concatenate([none.astype(np.int8), *cols[3]])]
                 key = pa.array(ids + [None] * (len(a[0]) - len(ids)), pa.int64())
                 kind = pa.array(np.concatenate([np.array(kinds, dtype=np.int8), np.full(len(a[0]) - len(ids), -1, dtype=np.int8)]))
                 yield pa.RecordBatch.from_arrays([kind, key, *map(pa.array, a)], names=["kind", "id", "pivot", "node", "n", "side"])
@@ -160,9 +165,9 @@ def _regions(salts, counts, similarity):
 
 
 def _gather(similarity):
-    """Whole shuffle partitions of (kind, id, pivot, node, n, side): members pass through, regions give counted pairs."""
+    """Whole shuffle partitions of (kind, id, pivot, node, n, side): members (pivot: their unit) pass through, regions give counted pairs."""
 
-    names = ["kind", "a", "b", "n", "bound"]
+    names = ["kind", "a", "b", "n", "bound", "unit"]
 
     def run(batches):
         pivots, nodes, sizes, sides = [], [], [], []
@@ -190,7 +195,7 @@ def _gather(similarity):
         yield from counted(x, n, side, start, size)
 
     def emit_members(some):
-        return pa.RecordBatch.from_arrays([some.column("kind"), some.column("node"), some.column("id"), some.column("n"), some.column("n")], names=names)
+        return pa.RecordBatch.from_arrays([some.column("kind"), some.column("node"), some.column("id"), some.column("n"), some.column("n"), some.column("pivot")], names=names)
 
     def counted(x, n, side, start, size, most=4_000_000):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -231,7 +236,7 @@ def _gather(similarity):
         new = np.flatnonzero(np.r_[True, (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
         count = np.diff(np.r_[new, len(l)])
         columns = (np.full(len(new), -1, dtype=np.int8), l[new], r[new], count.astype(np.int32), least[new].astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(new), pa.int64())], names=names)
 
     return run
 
@@ -270,7 +275,7 @@ def _verify(similarity):
 
 
 def near_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(pairs (l, r) of classes, members (kind, node, id)) of a table (kind tinyint, id long, text string)."""
+    """(pairs (l, r) of classes, members (kind, node, id, unit)) of a table (kind tinyint, id long, text string)."""
     spark = texts.sparkSession
     rows = texts.where("id IS NOT NULL AND text IS NOT NULL").select("kind", "id", "text")
     salts = {k: 0x51ED * (k + 1) for k in range(8)}
@@ -281,19 +286,28 @@ def near_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.mapInArrow(_regions(salts, counts, similarity), "kind byte, id long, pivot long, node long, n int, side byte")
     region = F.when(F.col("kind") >= 0, F.col("id")).otherwise(F.col("pivot"))
-    gathered = sent.repartition(parts, F.xxhash64(region)).mapInArrow(_gather(similarity), "kind byte, a long, b long, n int, bound int")
+    gathered = sent.repartition(parts, F.xxhash64(region)).mapInArrow(_gather(similarity), "kind byte, a long, b long, n int, bound int, unit long")
     found = materialize(gathered, "regions")
     pairs = found.where("kind = -1").groupBy(F.col("a").alias("l"), F.col("b").alias("r")).agg(F.sum("n").alias("met"), F.max("bound").alias("bound"))
     candidates = materialize(pairs.where("met >= bound").select("l", "r"), "candidates")
-    members = found.where("kind >= 0").select("kind", F.col("a").alias("node"), F.col("b").alias("id")).distinct()
-    both = pair_texts(candidates, members, rows, _confirm(salts))
+    members = found.where("kind >= 0").select("kind", F.col("a").alias("node"), F.col("b").alias("id"), "unit").distinct()
+    both = pair_texts(candidates, members.select("kind", "node", "id"), rows, _confirm(salts))
     return both.mapInArrow(_verify(similarity), "l long, r long"), members
 
 
+def row_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(left_id, right_id) structs (kind, id) of the rows behind class pairs and classes, between all different texts of a class too."""
+    units = members.select("node", "unit").distinct()
+    side = lambda c: units.select(F.col("node").alias(c), F.col("unit").alias(f"u{c}"))
+    across = pairs.join(side("l"), "l").join(side("r"), "r").select(F.col("ul").alias("l"), F.col("ur").alias("r"))
+    within = self_pairs(units, "node", "unit", []).select(F.col("unit_l").alias("l"), F.col("unit_r").alias("r"))
+    return expand_pairs(across.unionByName(within), members.select(F.col("unit").alias("node"), F.struct("kind", "id").alias("id")).distinct())
+
+
 def p2_found(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.lit(0).cast("byte").alias("kind"), F.col("doc_id").alias("id"), F.col("raw_text").alias("text"))
     c = table(spark, sf_dir, "chunks").select(F.lit(1).cast("byte").alias("kind"), F.col("chunk_id").alias("id"), "text")
     pairs, members = near_pairs(d.unionByName(c))
-    found = expand_pairs(materialize(pairs, "pairs"), members.select("node", F.struct("kind", "id").alias("id")))
+    found = row_pairs(materialize(pairs, "pairs"), members)
     kind = F.when(F.col("left_id.kind") == 0, "document").otherwise("chunk")
     return found.select(kind.alias("kind"), F.col("left_id.id").alias("left_id"), F.col("right_id.id").alias("right_id"))

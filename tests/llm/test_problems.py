@@ -162,6 +162,18 @@ def test_p2(spark):
     assert p2_near.near_pairs(df.limit(0))[0].count() == 0
 
 
+def test_p2_gives_all_pairs_of_reformatted_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:i]) + "\n" + " ".join(words[i:]) for i in range(70)]  # 60 texts of one set, the last one ten times more
+    edited = " ".join(words[:55] + ["x1", "x2", "x3", "x4", "x5"])
+    more = [edited.replace(" ", "  ", i) for i in range(1, 60)]
+    rows = list(enumerate(texts + more))
+    spark.createDataFrame(rows, "doc_id long, raw_text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(rows[:3], "chunk_id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {tuple(r) for r in p2_near.p2_found(spark, str(tmp_path)).collect()}
+    assert got == {("document", i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))} | {("chunk", 0, 1), ("chunk", 0, 2), ("chunk", 1, 2)}
+
+
 def test_p2_bounds():
     rng = random.Random(2)
     for _ in range(300):
