@@ -59,3 +59,12 @@ def expand_pairs(pairs: DataFrame, members: DataFrame, within: bool = True, full
         some = some.unionByName(small.select("node", F.col("id").alias("a")).join(other, "node").where("a < b").select("a", "b"))
         some = some.unionByName(copies.where((F.col("n") * F.col("n") > full) & (F.col("id") != F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b")))
     return some.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).where("left_id <> right_id").distinct()
+
+
+def class_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, copies, links) of every member (node, id): the smallest id of its class, its size, and how many other classes it is paired with."""
+    size = members.groupBy("node").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    both = pairs.select(F.col("l").alias("node"), F.col("r").alias("other")).unionByName(pairs.select(F.col("r").alias("node"), F.col("l").alias("other")))
+    links = both.distinct().groupBy("node").agg(F.count("*").alias("links"))
+    named = size.join(links, "node", "left")
+    return members.join(named, "node").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -306,12 +306,32 @@ def test_p9(spark):
     docs = ["l" + text(300) + "1" + s200 + "2" + text(90), text(50) + "3" + s200 + "4" + text(400), "5" + s199 + "6" + text(300), text(100) + "7" + s199 + "8", s900 + text(300), text(40) + s900[:500] + text(77) + s900[500:], "short", "", None, " " * 700, " " * 450 + "x"]
     docs += [docs[0], docs[9]]
     df = spark.createDataFrame(list(enumerate(docs)) + [(None, docs[0]), (0, docs[0])], "doc_id long, text string")
-    pairs, members, chains = p9_spans.shared_spans(df)
+    pairs, members = p9_spans.shared_spans(df)
     got = {(r.left_id, r.right_id) for r in textpairs.expand_pairs(pairs, members).collect()}
     grams = {i: {t[k : k + 200] for k in range(len(t) - 199)} for i, t in enumerate(docs) if t}
     assert got == {(i, j) for i in grams for j in grams if i < j and grams[i] & grams[j]}
-    assert chains.where("seeds > 3").count() > 0
     assert p9_spans.shared_spans(df.limit(0))[0].count() == 0
+    rows = {r.doc_id: r for r in p9_spans.span_classes(df).collect()}
+    assert (rows[0].class_id, rows[0].copies, rows[11].class_id) == (0, 2, 0) and rows[4].links == 1 and rows[3].links == 0 and 6 not in rows
+    fuzzy = [r for r in p9_spans.fuzzy_passages(df).collect() if (r.left_id, r.right_id) == (4, 5)]
+    assert len(fuzzy) == 1 and fuzzy[0].left_to - fuzzy[0].left_from == 900 and fuzzy[0].right_to - fuzzy[0].right_from == 977 and fuzzy[0].matched == 900
+    assert p9_spans.fuzzy_passages(df.limit(0)).count() == 0
+
+
+def test_p9_rows_come_from_all_chains(spark, monkeypatch):
+    """With one seed in place of the chains a passage behind a shorter one is lost."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    short, long = text(199), text(300)
+    df = spark.createDataFrame([(1, text(50) + "1" + short + "2" + text(700) + long), (2, short + "4" + text(90) + long + text(60))], "doc_id long, text string")
+    assert p9_spans.shared_spans(df)[0].count() == 1
+    monkeypatch.setattr(p9_spans, "chains", lambda a, b, k: [[min(range(len(a)), key=a.__getitem__)]])
+    texts = [r.text for r in df.collect()]
+    kept = [(p9_spans.kmer_hashes(p9_spans.code_points(t), 104), t) for t in texts]
+    at = [dict(zip(h[p9_spans.seeds(h, 97)[0]].tolist(), p9_spans.seeds(h, 97)[0].tolist())) for h, _ in kept]
+    both = sorted(at[0].keys() & at[1].keys())
+    a, b = [at[0][h] for h in both], [at[1][h] for h in both]
+    assert not any(p9_spans.chain_proves(*texts, [(a[i], b[i]) for i in c], 104, 200) for c in p9_spans.chains(a, b, 104))
 
 
 def test_p9_passages(spark):
@@ -341,9 +361,14 @@ def test_p9_passages(spark):
 
 
 def test_p9_chain():
-    a, b = [0, 100, 200, 50, 300], [1000, 1100, 1210, 5, 1300]
-    assert p9_spans.chain(a, b, 104) == [0, 1, 2, 4] or p9_spans.chain(a, b, 104) == [0, 1, 4]
-    assert p9_spans.exact_spans([0, 90, 300], [10, 100, 310], 104) == [(0, 10, 194), (300, 310, 104)]
+    a, b = [0, 50, 150, 155, 400], [10, 60, 160, 20, 420]
+    found = p9_spans.chains(a, b, 104)
+    assert found[0] == [0, 1, 2, 4] and sorted(i for c in found for i in c) == list(range(5))
+    assert p9_spans.longest_run([(0, 10), (90, 100), (300, 310)], 104) == 194
+    assert p9_spans.longest_run([(0, 10), (90, 101), (194, 205)], 104) == 208
+    assert [p9_spans.common_prefix(*x) for x in (("", "a"), ("abc", "abd"), ("x" * 1000 + "y", "x" * 1000 + "z"), ("q" * 77, "q" * 99))] == [0, 2, 1000, 77]
+    assert p9_spans.aligned_chain("--abcdefgh..XYZWabcd", "abcdefgh!XYZWabcd--", [(2, 0), (12, 9)], 4) == (2, 20, 0, 17, 16)
+    assert p9_spans.chains([0], [0], 3) == [[0]]
 
 
 def test_expansion_of_large_classes(spark):
