@@ -1,13 +1,14 @@
-"""p2: near-duplicate records with small edits: an exact Jaccard self-join in recursive regions.
+"""p2: near-duplicate records with small edits: an exact Jaccard self-join in regions.
 
 Records are sets of 3-token sequences; distance is 1 - |common| / |all|; pairs at or over ``SIMILARITY`` are wanted.
 
-Regions: with documents as pivots the windows of a metric-space join can't shrink here, as nearly every distance between a
-document and a pivot lies near 1, so that every window holds everything (README). The pivots are therefore single
+Regions: Voronoi regions of whole records were measured (README): a window of twice the radius 0.4 excludes a record from a region
+only if it lies within 0.2 of its own pivot, so that nearly every record is copied to nearly every region. The pivots are therefore single
 sequences, ordered from rare to frequent by counts over the whole corpus: a record lies in the region of its rarest
-pivot, and its window, the set bound that replaces the triangle inequality, replicates it to the regions of its next
-pivots: two similar records share at least ``least_met`` of the pivots in both prefixes (see ``window``). Regions of frequent
-pivots are split recursively into pairs of blocks. A pair's common regions are counted; pairs under the bound are out.
+pivot, and its window, the set bound in place of the triangle inequality, replicates it to the regions of its next
+pivots: two similar records share at least ``least_met`` of the pivots in both prefixes (see ``window``). Regions stream by in order of their
+pivot; one with more than ``HOT`` records is counted out exactly and joined again in pairs of blocks, so that no task
+holds a whole region. A pair's common regions are counted; pairs under the bound are out.
 The remaining pairs are compared set by set, so the result is exact.
 
 Defined results: null texts, texts with fewer than ``LEAST`` tokens and null ids give no row; equal sets are one class, equal
@@ -16,6 +17,7 @@ texts of a class one unit: all pairs of units are given, and only equal texts ar
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from strandwork.llm.p9_spans import pair_texts
-from strandwork.llm.textpairs import expand_pairs, mix, self_pairs
+from strandwork.llm.textpairs import class_links, expand_pairs, mix, self_pairs
+from strandwork.operators.components import connected_components
 from strandwork.session import materialize, table
 
 SIMILARITY, WORDS, LEAST = 0.6, 3, 40
-SKETCH = 1 << 19
+#: Cells of the counts that order the pivots: a byte each when broadcast, whatever the input. Any order gives the exact result.
+SKETCH, SLICE = 1 << 22, 1 << 16
 BLOCK = 512
-#: A pivot counted more often than this, and than four times the mean count of a sketch cell, has its region split.
+#: A region with more records is joined in pairs of blocks of this size.
 HOT = 2000
 _TOKEN = re.compile(r"[a-z0-9_]+").findall
 _VOCABULARY: dict[str, int] = {}
@@ -91,48 +95,63 @@ def least_met(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _sketch(salts):
+    """Counts of the cells of one scan partition, as compressed slices (slice, counts)."""
+
     def run(batches):
         total = np.zeros(SKETCH, dtype=np.int64)
         held: list[np.ndarray] = []
+        amount = 0
+
+        def count():
+            np.add.at(total, np.concatenate(held), 1) if amount < SKETCH // 8 else total.__iadd__(np.bincount(np.concatenate(held), minlength=SKETCH))
+
         for batch in batches:
             for kind, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 s = shingles(text, salt=salts[kind])
                 if s is not None:
-                    held.append(s % np.uint64(SKETCH))
-            if held:
-                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
-                held = []
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+                    held.append((s % np.uint64(SKETCH)).astype(np.int64))
+                    amount += len(s)
+            if amount >= SKETCH // 4:
+                count()
+                held, amount = [], 0
+        if held:
+            count()
+        yield from _slices({i: total[i * SLICE : (i + 1) * SLICE] for i in range(SKETCH // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()})
 
     return run
 
 
-def split_hot(pivot, node: int, weight, hot: int):
-    """(region, side) of the copies of one record: a frequent pivot's region becomes pairs of blocks of records.
+def _slices(totals: dict[int, np.ndarray]):
+    blobs = [zlib.compress(v.astype("<i8").tobytes(), 1) for v in totals.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
 
-    Records on the same side (1 or 2) of a pair of different blocks meet elsewhere; side 0 meets everyone."""
-    often = weight > hot
-    if not often.any():
-        return pivot, np.zeros(len(pivot), dtype=np.int8)
-    regions, sides = [pivot[~often]], [np.zeros(int((~often).sum()), dtype=np.int8)]
-    for p, w in zip(pivot[often], weight[often].tolist()):
-        blocks = -(-w // hot)
-        own = (node & 0xFFFFFFFF) % blocks
-        other = np.arange(blocks)
-        low, high = np.minimum(own, other), np.maximum(own, other)
-        regions.append(mix((p + (low * blocks + high + 1).astype(np.uint64))))
-        sides.append(np.where(other == own, 0, np.where(low == own, 1, 2)).astype(np.int8))
-    return np.concatenate(regions), np.concatenate(sides)
+
+def _sum_slices(batches):
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+            v = np.frombuffer(zlib.decompress(blob), dtype="<i8")
+            totals[i] = totals[i] + v if i in totals else v
+    yield from _slices(totals)
+
+
+def pivot_order(rows: DataFrame, salts: dict[int, int]) -> np.ndarray:
+    """A byte per cell that grows with the logarithm of its count over all records; summed in two levels, streaming."""
+    kind = "slice int, counts binary"
+    first = rows.mapInArrow(_sketch(salts), kind).withColumn("salt", F.spark_partition_id() % 64)
+    first = first.repartition("slice", "salt").select("slice", "counts").mapInArrow(_sum_slices, kind)
+    weight = np.zeros(SKETCH, dtype=np.int64)
+    for r in first.repartition("slice").mapInArrow(_sum_slices, kind).toLocalIterator():
+        weight[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype="<i8")
+    return np.minimum(255, np.round(8 * np.log2(1.0 + weight))).astype(np.uint8)
 
 
 def _regions(salts, counts, similarity):
     def run(batches):
         weight = counts.value
-        hot = int(max(HOT, 4 * weight.mean()))
         seen: set[int] = set()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], []]
             ids, nodes, kinds, units = [], [], [], []
             for kind, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text, salt=salts[kind])
@@ -148,54 +167,77 @@ def _regions(salts, counts, similarity):
                 seen.add(node)
                 w = weight[(s % np.uint64(SKETCH)).astype(np.int64)]
                 prefix, _ = window(len(s), similarity)
-                first = np.lexsort((s, w))[: int(prefix)]
-                region, side = split_hot(s[first], node, w[first], hot)
-                cols[0].append(region.view(np.int64))
-                cols[1].append(np.full(len(region), node, dtype=np.int64))
-                cols[2].append(np.full(len(region), len(s), dtype=np.int32))
-                cols[3].append(side)
+                first = np.argsort(w, kind="stable")[: int(prefix)]  # s is sorted, so ties go to the smaller hash
+                cols[0].append(s[first].view(np.int64))
+                cols[1].append(np.full(len(first), node, dtype=np.int64))
+                cols[2].append(np.full(len(first), len(s), dtype=np.int32))
             if ids:
-                none = np.zeros(len(ids), dtype=np.int64)
-                a = [np.concatenate([np.array(units, dtype=np.int64), *cols[0]]), np.concatenate([np.array(nodes, dtype=np.int64), *cols[1]]), np.concatenate([none.astype(np.int32), *cols[2]]), np.concatenate([none.astype(np.int8), *cols[3]])]
+                none = np.zeros(len(ids), dtype=np.int32)
+                a = [np.concatenate([np.array(units, dtype=np.int64), *cols[0]]), np.concatenate([np.array(nodes, dtype=np.int64), *cols[1]]), np.concatenate([none, *cols[2]])]
                 key = pa.array(ids + [None] * (len(a[0]) - len(ids)), pa.int64())
                 kind = pa.array(np.concatenate([np.array(kinds, dtype=np.int8), np.full(len(a[0]) - len(ids), -1, dtype=np.int8)]))
-                yield pa.RecordBatch.from_arrays([kind, key, *map(pa.array, a)], names=["kind", "id", "pivot", "node", "n", "side"])
+                side = pa.array(np.zeros(len(a[0]), dtype=np.int8))
+                yield pa.RecordBatch.from_arrays([kind, key, *map(pa.array, a), side], names=["kind", "id", "pivot", "node", "n", "side"])
 
     return run
 
 
-def _gather(similarity):
-    """Whole shuffle partitions of (kind, id, pivot, node, n, side): members (pivot: their unit) pass through, regions give counted pairs."""
+def _gather(similarity, hot=None, chunk=400_000):
+    """Streams (kind, id, pivot, node, n, side) sorted by pivot and node: members (pivot: their unit) pass through, regions give counted pairs.
+
+    A region with more than ``hot`` records comes out again as rows of kind -2 (a: pivot, b: node, n, bound: its block)."""
 
     names = ["kind", "a", "b", "n", "bound", "unit"]
 
     def run(batches):
-        pivots, nodes, sizes, sides = [], [], [], []
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        amount, spilled = 0, [None, None, 0]  # pivot and last node of a region that is being counted out, records so far
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             own = kind >= 0
             if own.any():
                 some = batch.filter(pa.array(own))
-                yield emit_members(some)
-            rest = batch.filter(pa.array(~own))
-            pivots.append(rest.column("pivot").to_numpy())
-            nodes.append(rest.column("node").to_numpy())
-            sizes.append(rest.column("n").to_numpy())
-            sides.append(rest.column("side").to_numpy())
-        if not pivots:
-            return
-        p, x, n, side = (np.concatenate(c) for c in (pivots, nodes, sizes, sides))
-        del pivots, nodes, sizes, sides
-        order = np.lexsort((x, p))
-        p, x, n, side = p[order], x[order], n[order], side[order]
-        new = np.r_[True, (p[1:] != p[:-1]) | (x[1:] != x[:-1])]  # a class sent by several scan partitions
-        p, x, n, side = p[new], x[new], n[new], side[new]
-        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, np.int64)
-        size = np.diff(np.r_[start, len(p)])
-        yield from counted(x, n, side, start, size)
+                yield pa.RecordBatch.from_arrays([some.column(c) for c in ("kind", "node", "id", "n", "n", "pivot")], names=names)
+            rest = batch.filter(pa.array(~own)) if own.any() else batch
+            for h, c in zip(held, ("pivot", "node", "n", "side")):
+                h.append(rest.column(c).to_numpy())
+            amount += rest.num_rows
+            if amount > chunk:
+                kept = yield from regions([np.concatenate(h) for h in held], spilled, False)
+                held, amount = [[c] for c in kept], len(kept[0])
+        if amount:
+            yield from regions([np.concatenate(h) for h in held], spilled, True)
 
-    def emit_members(some):
-        return pa.RecordBatch.from_arrays([some.column("kind"), some.column("node"), some.column("id"), some.column("n"), some.column("n"), some.column("pivot")], names=names)
+    def regions(columns, spilled, last):
+        """Deals with all whole regions; gives back the rows of one that may go on."""
+        p, x, n, side = columns
+        new = np.r_[True, (p[1:] != p[:-1]) | (x[1:] != x[:-1]) | (side[1:] != side[:-1])]  # a class sent by several scan partitions
+        p, x, n, side = p[new], x[new], n[new], side[new]
+        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        ends = np.r_[start[1:], len(p)]
+        stop = len(start) if last else len(start) - 1
+        big = []
+        if hot is not None:
+            for i in range(len(start)):
+                going = p[start[i]] == spilled[0]
+                if going or ends[i] - start[i] > hot:
+                    big.append(i)
+                    yield counted_out(p, x, n, slice(start[i], ends[i]), spilled if going else None, spilled)
+        small = np.setdiff1d(np.arange(stop), big)
+        yield from counted(x, n, side, start[small], (ends - start)[small])
+        rest = slice(len(p), len(p)) if last or len(start) - 1 in big else slice(start[-1], len(p))
+        return [c[rest] for c in (p, x, n, side)]
+
+    def counted_out(p, x, n, rows, before, spilled):
+        a, b, c = p[rows], x[rows], n[rows]
+        seen = 0
+        if before is not None:
+            seen = before[2]
+            if b[0] == before[1]:
+                a, b, c = a[1:], b[1:], c[1:]
+        spilled[:] = [p[rows.start], x[rows.stop - 1], seen + len(b)]
+        block = ((seen + np.arange(len(b))) // hot).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), -2, dtype=np.int8)), pa.array(a), pa.array(b), pa.array(c), pa.array(block), pa.nulls(len(b), pa.int64())], names=names)
 
     def counted(x, n, side, start, size, most=4_000_000):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -241,6 +283,23 @@ def _gather(similarity):
     return run
 
 
+_SENT = "kind byte, id long, pivot long, node long, n int, side byte"
+_GATHERED = "kind byte, a long, b long, n int, bound int, unit long"
+
+
+def hot_pairs(found: DataFrame, parts: int, similarity: float) -> DataFrame:
+    """Counted pairs of the regions that were counted out: each record goes to all pairs of blocks that hold its own.
+
+    Records on the same side (1 or 2) of a pair of different blocks meet elsewhere; side 0 meets everyone."""
+    rows = found.where("kind = -2").select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", F.col("bound").alias("own"))
+    blocks = rows.groupBy("pivot").agg((F.max("own") + 1).alias("blocks"))
+    sent = rows.join(blocks, "pivot").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte")
+    key = F.xxhash64("pivot", F.least("own", "other"), F.greatest("own", "other"))
+    sent = sent.select(F.lit(-1).cast("byte").alias("kind"), F.lit(None).cast("long").alias("id"), key.alias("pivot"), "node", "n", side.alias("side"))
+    return sent.repartition(parts, "pivot").sortWithinPartitions("pivot", "node", "side").mapInArrow(_gather(similarity), _GATHERED)
+
+
 def _confirm(salts):
     """Of (node, kind, text) rows those whose text is of that class, should an id have several texts."""
 
@@ -274,21 +333,19 @@ def _verify(similarity):
     return run
 
 
-def near_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def near_pairs(texts: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(pairs (l, r) of classes, members (kind, node, id, unit)) of a table (kind tinyint, id long, text string)."""
     spark = texts.sparkSession
     rows = texts.where("id IS NOT NULL AND text IS NOT NULL").select("kind", "id", "text")
     salts = {k: 0x51ED * (k + 1) for k in range(8)}
-    counted = rows.mapInArrow(_sketch(salts), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    weight = np.zeros(SKETCH, dtype=np.int64)
-    weight[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    counts = spark.sparkContext.broadcast(weight)
+    counts = spark.sparkContext.broadcast(pivot_order(rows, salts))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.mapInArrow(_regions(salts, counts, similarity), "kind byte, id long, pivot long, node long, n int, side byte")
+    sent = rows.mapInArrow(_regions(salts, counts, similarity), _SENT)
     region = F.when(F.col("kind") >= 0, F.col("id")).otherwise(F.col("pivot"))
-    gathered = sent.repartition(parts, F.xxhash64(region)).mapInArrow(_gather(similarity), "kind byte, a long, b long, n int, bound int, unit long")
-    found = materialize(gathered, "regions")
-    pairs = found.where("kind = -1").groupBy(F.col("a").alias("l"), F.col("b").alias("r")).agg(F.sum("n").alias("met"), F.max("bound").alias("bound"))
+    sent = sent.repartition(parts, F.xxhash64(region)).sortWithinPartitions("pivot", "node")
+    found = materialize(sent.mapInArrow(_gather(similarity, hot), _GATHERED), "regions")
+    met = found.where("kind = -1").select("a", "b", "n", "bound").unionByName(hot_pairs(found, parts, similarity).select("a", "b", "n", "bound"))
+    pairs = met.groupBy(F.col("a").alias("l"), F.col("b").alias("r")).agg(F.sum("n").alias("met"), F.max("bound").alias("bound"))
     candidates = materialize(pairs.where("met >= bound").select("l", "r"), "candidates")
     members = found.where("kind >= 0").select("kind", F.col("a").alias("node"), F.col("b").alias("id"), "unit").distinct()
     both = pair_texts(candidates, members.select("kind", "node", "id"), rows, _confirm(salts))
@@ -304,10 +361,31 @@ def row_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return expand_pairs(across.unionByName(within), members.select(F.col("unit").alias("node"), F.struct("kind", "id").alias("id")).distinct())
 
 
-def p2_found(spark, sf_dir: str) -> DataFrame:
+def near_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(kind, id, group_id, class_id, copies, links): one row per record: the smallest id of those joined to it directly or through others, the
+    smallest id with an equal set, the number of records with it, and the number of other sets similar to it. A record alone is its own group."""
+    rows = members.select("node", F.struct("kind", "id").alias("id")).distinct()
+    label = connected_components(pairs, "l", "r")
+    named = class_links(pairs, rows).join(rows, "id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("id.id").alias("group_id"))
+    return named.join(least, "label").select("id.kind", "id.id", "group_id", F.col("class_id.id").alias("class_id"), "copies", "links")
+
+
+def _texts(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.lit(0).cast("byte").alias("kind"), F.col("doc_id").alias("id"), F.col("raw_text").alias("text"))
-    c = table(spark, sf_dir, "chunks").select(F.lit(1).cast("byte").alias("kind"), F.col("chunk_id").alias("id"), "text")
-    pairs, members = near_pairs(d.unionByName(c))
+    return d.unionByName(table(spark, sf_dir, "chunks").select(F.lit(1).cast("byte").alias("kind"), F.col("chunk_id").alias("id"), "text"))
+
+
+def _kind(number):
+    return F.when(number == 0, "document").otherwise("chunk").alias("kind")
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    pairs, members = near_pairs(_texts(spark, sf_dir))
     found = row_pairs(materialize(pairs, "pairs"), members)
-    kind = F.when(F.col("left_id.kind") == 0, "document").otherwise("chunk")
-    return found.select(kind.alias("kind"), F.col("left_id.id").alias("left_id"), F.col("right_id.id").alias("right_id"))
+    return found.select(_kind(F.col("left_id.kind")), F.col("left_id.id").alias("left_id"), F.col("right_id.id").alias("right_id"))
+
+
+def p2_groups(spark, sf_dir: str) -> DataFrame:
+    pairs, members = near_pairs(_texts(spark, sf_dir))
+    return near_groups(materialize(pairs, "pairs"), members).select(_kind(F.col("kind")), "id", "group_id", "class_id", "copies", "links")

@@ -11,6 +11,7 @@ def queries() -> dict:
         "p1_found": p1.p1_found,
         "p1_lists": p1.p1_lists,
         "p2_found": p2.p2_found,
+        "p2_groups": p2.p2_groups,
         "p3_found": p3.p3_found,
         "p3_signs": p3.p3_signs,
         "p4_found": p4.p4_found,

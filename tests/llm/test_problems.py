@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,16 +190,44 @@ def test_p2_bounds():
         assert len(set(px) & set(py)) >= p2_near.least_met(np.array([a]), np.array([b]), 0.6)[0]
 
 
-def test_p2_hot_regions_meet_once():
-    p, w = np.array([5], dtype=np.uint64), np.array([5000])
-    seen = Counter()
-    parts = {n: p2_near.split_hot(p, n, w, 2000) for n in range(30)}
-    for i in range(30):
-        for j in range(i + 1, 30):
-            for r, s in zip(*parts[i]):
-                for q, t in zip(*parts[j]):
-                    seen[(i, j)] += int(r == q and (s == 0 or s != t))
-    assert set(seen.values()) == {1}
+def test_p2_hot_regions_meet_once(spark):
+    """Streamed in any batches, a region over the bound is counted out once, and its blocks give every pair once."""
+    rng = np.random.default_rng(6)
+    sizes = [1, 3, 40, 2, 11, 10, 27, 1, 25]
+    rows = [(p, x) for p, n in enumerate(sizes) for x in range(n)]
+    rows = sorted(rows + [rows[5], rows[20], rows[60]])
+    for _ in range(20):
+        cuts = np.unique(np.r_[0, rng.integers(len(rows), size=6), len(rows)])
+        batches = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            p, x = (np.array([r[c] for r in rows[i:j]], dtype=np.int64) for c in (0, 1))
+            cols = [np.full(j - i, -1, dtype=np.int8), np.zeros(j - i, dtype=np.int64), p, x, np.full(j - i, 50, dtype=np.int32), np.zeros(j - i, dtype=np.int8)]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "id", "pivot", "node", "n", "side"]))
+        out = pa.Table.from_batches(list(p2_near._gather(0.6, hot=10, chunk=int(rng.integers(1, 60)))(iter(batches)))).to_pylist()
+        spilled = sorted((r["a"], r["b"]) for r in out if r["kind"] == -2)
+        assert spilled == [(p, x) for p, n in enumerate(sizes) if n > 10 for x in range(n)]
+        assert all(r["bound"] == r["b"] // 10 for r in out if r["kind"] == -2)
+        met = Counter((r["a"], r["b"]) for r in out if r["kind"] == -1 for _ in range(r["n"]))
+        assert met == Counter((i, j) for n in sizes if n <= 10 for i in range(n) for j in range(i + 1, n))
+    found = spark.createDataFrame([(-2, 7, x, 50, x // 10, None) for x in range(35)], "kind byte, a long, b long, n int, bound int, unit long")
+    got = Counter((r.a, r.b) for r in p2_near.hot_pairs(found, 3, 0.6).collect() for _ in range(r.n))
+    assert got == Counter((i, j) for i in range(35) for j in range(i + 1, 35))
+
+
+def test_p2_groups_and_hot_regions(spark):
+    texts = edited(random.Random(8))
+    texts += [texts[0], texts[0].upper(), "short", None]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)] + [(1, 0, texts[0])], "kind byte, id long, text string")
+    whole, split = (p2_near.near_pairs(df, hot=h) for h in (2000, 2))
+    assert {tuple(r) for r in whole[0].collect()} == {tuple(r) for r in split[0].collect()}
+    rows = {(r.kind, r.id): r for r in p2_near.near_groups(*whole).collect()}
+    linked = {(r.left_id.id, r.right_id.id) for r in p2_near.row_pairs(*whole).collect() if r.left_id.kind == 0}
+    label = list(range(len(texts)))
+    for _ in range(20):
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {i: r.group_id for (k, i), r in rows.items() if k == 0} == {i: label[i] for k, i in rows if k == 0}
+    assert rows[(0, 0)].copies == 3 and rows[(1, 0)].group_id == 0 and rows[(1, 0)].links == 0
 
 
 def test_p3(spark):
