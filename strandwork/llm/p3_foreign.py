@@ -79,8 +79,8 @@ def _read(code_suffixes):
 def not_hand_written(df: DataFrame, suffixes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sign): files with a sign, or recognised as vendored copies ('copy').
 
-    The table of suffixes is small and fixed; its code suffixes are read by the driver."""
-    code = frozenset(r[0].lower() for r in suffixes.where("is_code").select("suffix").distinct().limit(1000).collect() if r[0])
+    The driver reads the code suffixes (see ``suffix_rows``)."""
+    code = frozenset(r[0].lower() for r in signs.suffix_rows(suffixes.where("is_code").select("suffix")) if r[0])
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "source", "raw_text")
     read = materialize(rows.mapInArrow(_read(code), _PART), "prints")
     signed = read.where("print = 0 AND sign IS NOT NULL").groupBy("id").agg(F.max("sign").alias("sign"))

@@ -16,11 +16,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandwork.llm.signs import suffix
+from strandwork.llm.signs import suffix, suffix_rows
 from strandwork.session import table
 
 #: Fixed value: languages with functions.
@@ -84,36 +85,57 @@ def blank(text: str, language: str) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 _PAIR = re.compile(r"[()\[\]{}]")
+_TYPE_PAIR = re.compile(r"[<>()\[\]{};]")
+_CLOSED = {")": "(", "]": "[", "}": "{"}
+#: What follows the parameters of an arrow function, of a method, of a method's signature in a type, and of a Java method.
+_ARROW = re.compile(r"\s*(?::[^;={}]*(?:\{[^{}]*\}[^;={}]*)?)?=>")
+_METHOD = re.compile(r"\s*(?::\s*[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)?)?\{")
+_TYPED = re.compile(r"\s*:\s*[^;{}=\n]+;")
+_JAVA_BODY = re.compile(r"\s*(?:\[\s*\]\s*)*(?:throws\s+[\w.,\s<>@]+)?(?:default\s+[^;{}]+)?[{;]")
 
 
-def close(code: str, at: int) -> int:
-    """Position after the bracket that closes the one at ``at``; -1 if none does."""
-    depth = 0
-    for m in _PAIR.finditer(code, at):
-        depth += 1 if m.group() in "([{" else -1
-        if depth == 0:
-            return m.end()
-    return -1
+class Closers:
+    """Position after the bracket that closes the one at a position, -1 if none does; all brackets of a text in one pass."""
+
+    def __init__(self, code: str):
+        self.end: dict[int, int] = {}
+        stack = []
+        for m in _PAIR.finditer(code):
+            if m.group() in "([{":
+                stack.append(m.start())
+            elif stack:
+                self.end[stack.pop()] = m.end()
+
+    def __call__(self, at: int) -> int:
+        return self.end.get(at, -1)
 
 
 def angle(code: str, at: int) -> int:
-    """Position after a type parameter list that starts at ``at``."""
-    depth = 0
-    for i in range(at, min(len(code), at + 2000)):
-        c = code[i]
-        if c == "<":
-            depth += 1
-        elif c == ">" and code[i - 1] not in "-=":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        elif c in ";{" and depth < 1:
-            break
+    """Position after a type parameter list that starts at ``at``; -1 if what starts there is none."""
+    stack: list[str] = []
+    for m in _TYPE_PAIR.finditer(code, at):
+        c = m.group()
+        if c == ">":
+            if code[m.start() - 1] in "-=" or stack[-1] != "<":
+                continue
+            stack.pop()
+            if not stack:
+                return m.end()
+        elif c in "<([{":
+            stack.append(c)
+        elif c == ";":
+            if "{" not in stack:
+                return -1
+        elif stack[-1] != _CLOSED[c]:
+            return -1
+        else:
+            stack.pop()
     return -1
 
 
-def signatures(code: str, language: str) -> Iterator[tuple[int, int, str, int]]:
+def signatures(code: str, language: str, close: Closers | None = None) -> Iterator[tuple[int, int, str, int]]:
     """(start of the statement, start of the name, name, position after the parameters) of each definition."""
+    close = close or Closers(code)
     for m in _SIGNATURE[language].finditer(code):
         group = next(g for g in ("name", "name2", "name3", "name4") if g in m.groupdict() and m.group(g))
         name, at = m.group(group), m.end()
@@ -125,9 +147,10 @@ def signatures(code: str, language: str) -> Iterator[tuple[int, int, str, int]]:
                 if head in ("(", "<"):
                     at -= 1
                     if head == "<":
-                        at = code.find("(", angle(code, at)) if angle(code, at) > 0 else -1
-                    end = close(code, at) if at >= 0 else -1
-                    if end < 0 or not re.match(r"\s*(?::[^;={}]*(?:\{[^{}]*\}[^;={}]*)?)?=>", code[end : end + 400]):
+                        at = angle(code, at)
+                        at = code.find("(", at) if at > 0 else -1
+                    end = close(at)
+                    if end < 0 or not _ARROW.match(code, end):
                         continue
                 else:
                     end = at
@@ -135,25 +158,25 @@ def signatures(code: str, language: str) -> Iterator[tuple[int, int, str, int]]:
                 if at < len(code) and code[at] == "<":
                     at = angle(code, at)
                     at = code.find("(", at) if at > 0 else -1
-                end = close(code, at) if at >= 0 and at < len(code) and code[at] == "(" else at
-                if group == "name3" and (end < 0 or not re.match(r"\s*(?::\s*[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)?)?\{", code[end : end + 400])):
-                    if end < 0 or language != "typescript" or not re.match(r"\s*:\s*[^;{}=\n]+;", code[end : end + 400]):
+                end = close(at) if at >= 0 and at < len(code) and code[at] == "(" else at
+                if group == "name3" and (end < 0 or not _METHOD.match(code, end)):
+                    if end < 0 or language != "typescript" or not _TYPED.match(code, end):
                         continue
         elif language == "java":
-            end = close(code, at)
+            end = close(at)
             first = m.group("type").split("<")[0].strip()
-            if first in _NO_TYPE or name in _NO_NAME or end < 0 or not re.match(r"\s*(?:\[\s*\]\s*)*(?:throws\s+[\w.,\s<>@]+)?(?:default\s+[^;{}]+)?[{;]", code[end : end + 600]):
+            if first in _NO_TYPE or name in _NO_NAME or end < 0 or not _JAVA_BODY.match(code, end):
                 continue
         elif language == "ruby":
-            end = close(code, at) if code[at : at + 1] == "(" else at
+            end = close(at) if code[at : at + 1] == "(" else at
         else:
             if code[at : at + 1] == "<":
                 at = angle(code, at)
             elif language == "go" and code[at : at + 1] == "[" or language == "python" and code[at : at + 1] == "[":
-                at = close(code, at)
+                at = close(at)
             while 0 <= at < len(code) and code[at] in " \t\n":
                 at += 1
-            end = close(code, at) if 0 <= at < len(code) and code[at] == "(" else -1
+            end = close(at) if 0 <= at < len(code) and code[at] == "(" else -1
             if end < 0:
                 continue
         yield m.start() + len(m.group()) - len(m.group().lstrip()), m.start(group), name, end if end > 0 else at
@@ -162,8 +185,37 @@ def signatures(code: str, language: str) -> Iterator[tuple[int, int, str, int]]:
 _OPENS = re.compile(r"^\s*(?:def|class|module|if|unless|case|while|until|for|begin)\b|\bdo\b\s*(?:\|[^|]*\|)?\s*$|=\s*(?:if|unless|case|begin)\b")
 
 
-def body_end(lines: list[str], first: int, language: str, code: str, after: int, line_of) -> int:
-    """Last line (index) of a body that starts on line ``first``."""
+_END = re.compile(r"(?<![\w.:])end\b(?![?!:=])")
+
+
+class Depths:
+    """Answers by position over running sums of a list of steps, prepared in one pass each."""
+
+    def __init__(self, steps: list[int]):
+        self.total = [0, *accumulate(steps)]
+
+    def before(self) -> list[int]:
+        """For each position the last one before it whose sum is at least as large, or -1."""
+        out, stack = [], []
+        for i, v in enumerate(self.total):
+            while stack and self.total[stack[-1]] < v:
+                stack.pop()
+            out.append(stack[-1] if stack else -1)
+            stack.append(i)
+        return out
+
+    def behind(self) -> list[int]:
+        """For each position the first one behind it whose sum is at most as large, or the last position."""
+        out, stack = [len(self.total) - 1] * len(self.total), []
+        for i, v in enumerate(self.total):
+            while stack and self.total[stack[-1]] >= v:
+                out[stack.pop()] = i
+            stack.append(i)
+        return out
+
+
+def body_end(lines: list[str], first: int, language: str, code: str, after: int, line_of, close: Closers, blocks: list[int]) -> int:
+    """Last line (index) of a body that starts on line ``first``; ``blocks``: for Ruby, the line behind the block that each line opens."""
     if language == "python":
         own = len(lines[first]) - len(lines[first].lstrip())
         last = line_of(after)
@@ -181,17 +233,11 @@ def body_end(lines: list[str], first: int, language: str, code: str, after: int,
             last = i
         return last
     if language == "ruby":
-        depth = 0
-        for i in range(first, len(lines)):
-            x = lines[i].rstrip()
-            depth += len(_OPENS.findall(x)) - len(re.findall(r"(?<![\w.:])end\b(?![?!:=])", x))
-            if depth <= 0:
-                return i
-        return len(lines) - 1
+        return blocks[first] - 1
     brace, stop = code.find("{", after), code.find(";", after)
     if brace < 0 or 0 <= stop < brace:
         return line_of(stop if stop >= 0 else after)
-    end = close(code, brace)
+    end = close(brace)
     return line_of(end - 1) if end > 0 else len(lines) - 1
 
 
@@ -218,16 +264,11 @@ def is_trivial(text: str, name: str) -> bool:
     return all(w in own for w in words)
 
 
-def _annotations(raw: list[str], code: list[str], at: int, mark: str) -> int:
-    """Index of the first line of the run of annotations that ends above line ``at``."""
+def _annotations(code: list[str], opened: list[int], at: int, mark: str) -> int:
+    """Index of the first line of the run of annotations that ends above line ``at``; opened: where the brackets closed above each line open."""
     while at > 0:
-        i, depth = at - 1, 0
-        while i >= 0 and at - i < 30:
-            depth += sum(code[i].count(c) for c in ")]}") - sum(code[i].count(c) for c in "([{")
-            if depth <= 0:
-                break
-            i -= 1
-        if i < 0 or depth > 0 or not code[i].lstrip().startswith(mark):
+        i = opened[at]
+        if i < 0 or not code[i].lstrip().startswith(mark):
             return at
         at = i
     return at
@@ -244,6 +285,9 @@ def functions(text: str, language: str) -> Iterator[tuple[str, int, int, list[st
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
     line_of = lambda p: bisect_right(starts, p) - 1
     raw, lines = text.split("\n"), code.split("\n")
+    close = Closers(code)
+    ruby = Depths([len(_OPENS.findall(x.rstrip())) - len(_END.findall(x.rstrip())) for x in lines]).behind() if language == "ruby" else []
+    opened = Depths([sum(map(x.count, ")]}")) - sum(map(x.count, "([{")) for x in lines]).before() if language in ("rust", "java", "javascript", "typescript") else []
     blocks, whole, strings = {}, {}, {}
     for a, b, kind in marks:
         la, lb = line_of(a), line_of(max(a, b - 1))
@@ -254,7 +298,7 @@ def functions(text: str, language: str) -> Iterator[tuple[str, int, int, list[st
             blocks[lb] = (la, text[a:b])
         elif kind == "doc":
             strings[a] = text[a:b]
-    for start, named, name, after in signatures(code, language):
+    for start, named, name, after in signatures(code, language, close):
         first, line = line_of(start), line_of(named)
         doc: list[str] = []
         if language == "python":
@@ -283,17 +327,17 @@ def functions(text: str, language: str) -> Iterator[tuple[str, int, int, list[st
                     doc.insert(0, whole[i - 1][3:].strip())
                     i -= 1
                 else:
-                    up = _annotations(raw, lines, i, "#")
+                    up = _annotations(lines, opened, i, "#")
                     if up == i:
                         break
                     i = up
         else:
-            i = _annotations(raw, lines, first, "@")
+            i = _annotations(lines, opened, first, "@")
             if i - 1 in blocks and re.match(r"/\*\*(?!/)", blocks[i - 1][1]):
                 doc = _strip_block(blocks[i - 1][1])
         if not any(doc):
             continue
-        last = max(line, body_end(lines, line, language, code, after, line_of))
+        last = max(line, body_end(lines, line, language, code, after, line_of, close, ruby))
         yield name, line + 1, last + 1, doc, "\n".join(raw[first : last + 1])
 
 
@@ -338,8 +382,8 @@ def _extract(language_of):
 def documented_functions(df: DataFrame, suffixes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, func_name, def_line, end_line, documentation, code); a narrow map without a shuffle.
 
-    The table of suffixes is small and fixed; the driver reads those of the seven languages."""
-    known = {r.suffix.lower(): r.lang.lower() for r in suffixes.where("suffix IS NOT NULL AND lang IS NOT NULL").select("suffix", "lang").distinct().limit(1000).collect()}
+    The driver reads the suffixes of the seven languages (see ``suffix_rows``)."""
+    known = {r.suffix.lower(): r.lang.lower() for r in suffix_rows(suffixes.where("suffix IS NOT NULL AND lang IS NOT NULL").select("suffix", "lang"))}
     language_of = {s: x for s, x in known.items() if x in LANGUAGES}
     some = df.where(F.col(key).isNotNull() & F.col("source").isNotNull() & (F.length("raw_text") > 0)).select(F.col(key).cast("long").alias("id"), "source", "raw_text")
     some = some.where(F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1)).isin(*sorted(language_of)))

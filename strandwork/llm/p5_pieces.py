@@ -2,8 +2,8 @@
 
 Lexical cohesion: at every boundary between two units (a line end, else a sentence end, else a word end) the words of the ``BLOCK``
 units before and after are compared (cosine of their counts); the depth of a boundary is how far its similarity lies
-below the peaks on either side. Of the boundaries that keep a piece within both limits, and that lie in the last half of what would fit,
-the one with the best kind (line, sentence, word), then the deepest valley, then the latest ends the piece. The next piece starts about
+below the peaks on either side. Of the line and sentence ends that keep a piece within both limits, and that lie in the last half of what would fit,
+the one in the deepest valley ends the piece (ties: a line end, then the latest); where there is neither, the word end in the deepest valley does. The next piece starts about
 ``OVERLAP`` words before that end, at a word. A word longer than the limit is cut between characters.
 
 Defined results: null texts give no row, nor do items within both limits; limits count words (runs of other than space, tab, CR
@@ -128,7 +128,7 @@ def pieces(text: str, max_words: int = WORDS, max_chars: int = CHARS, overlap: i
         low = max(least, first + (reach - first) // 2, first + min(overlap + 1, reach - first - 1))
         low = min(low, reach - 1)
         span = np.arange(low, reach)
-        best = span[np.lexsort((span, depth[span], kind[span]))[-1]]
+        best = span[np.lexsort((span, kind[span], depth[span], kind[span] > 0))[-1]]
         end = int(min(stop[best], begin + max_chars))
         out.append((begin, end))
         back = max(first + 1, best + 1 - overlap)
@@ -156,7 +156,9 @@ def split_oversized(items: DataFrame, max_words: int = WORDS, max_chars: int = C
     """Pieces of the items (kind, item_id, text) over a limit: (kind, item_id, piece, start, text, words, token_estimate)."""
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0)))
     over = items.where(F.col("item_id").isNotNull() & (F.length("text") > 2 * max_words - 2)).select("kind", "item_id", "text")
-    over = over.where((F.length("text") > max_chars) | (words > max_words)).dropDuplicates()
+    over = over.where((F.length("text") > max_chars) | (words > max_words)).withColumn("hash", F.xxhash64("text"))
+    parts = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the cutting: not to be coalesced by bytes
+    over = over.repartition(parts, "kind", "item_id", "hash").dropDuplicates(["kind", "item_id", "hash"]).drop("hash")
     return over.mapInArrow(_cut(max_words, max_chars, overlap), _PIECE)
 
 
@@ -166,7 +168,8 @@ def _items(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    return split_oversized(_items(spark, sf_dir)).select("kind", "item_id").distinct()
+    """The items that were cut: those with a second piece."""
+    return split_oversized(_items(spark, sf_dir)).where("piece = 1").select("kind", "item_id").distinct()
 
 
 def p5_pieces(spark, sf_dir: str) -> DataFrame:

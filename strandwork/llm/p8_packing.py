@@ -5,7 +5,7 @@ source or copy group can overload one), and each group is packed largest first.
 residual capacity; each carries a bitmap of the sources and of the duplicate clusters (equal texts) it holds. The
 successor search starts at the smallest residual that fits and goes on to the tightest container that holds
 neither the item's source nor its cluster. A conflict alone never opens a container: if every fitting one
-conflicts, the tightest of them is taken. Then the containers left with much room are packed again across groups.
+conflicts, the tightest of them is taken and the item is marked. Then the containers left with much room are packed again across groups.
 
 Defined results: null and empty texts give no row; a text over the capacity is cut into full containers and a last piece
 that is packed as an item; ties go to the smaller id; null ids and sources are allowed (a null source conflicts with
@@ -28,13 +28,14 @@ CAPACITY, GROUP, SLACK = 2048, 4000, 4
 _ITEM = "key long, piece int, tokens int, source_hash long, text_hash long"
 
 
-def best_fit(sizes, sources, clusters, capacity: int) -> tuple[list[int], list[int]]:
-    """(container of each item, residual of each container); items in the given order; conflict value 0 conflicts with none."""
+def best_fit(sizes, sources, clusters, capacity: int) -> tuple[list[int], list[int], list[bool]]:
+    """(container of each item, residual of each container, whether the item conflicts with one put there before); items in the given
+    order; conflict value 0 conflicts with none."""
     bit: dict[tuple[int, int], int] = {}
     order: list[tuple[int, int]] = []  # (residual, container), sorted
     held: list[int] = []
     residual: list[int] = []
-    place = []
+    place, conflict = [], []
     for size, source, cluster in zip(sizes, sources, clusters):
         mask = 0
         for kind, value in ((0, source), (1, cluster)):
@@ -50,12 +51,13 @@ def best_fit(sizes, sources, clusters, capacity: int) -> tuple[list[int], list[i
             room, c = capacity, len(held)
             held.append(0)
             residual.append(capacity)
+        conflict.append(bool(held[c] & mask))
         held[c] |= mask
         residual[c] = room - size
         if residual[c]:
             insort(order, (residual[c], c))
         place.append(c)
-    return place, residual
+    return place, residual, conflict
 
 
 def item_sizes(df: DataFrame, key: str, text: str, source: str, capacity: int, vocabulary: str) -> DataFrame:
@@ -87,28 +89,40 @@ def item_sizes(df: DataFrame, key: str, text: str, source: str, capacity: int, v
 def _pack(capacity):
     def run(key, pdf):
         pdf = pdf.sort_values(["tokens", "key", "piece"], ascending=[False, True, True])
-        place, residual = best_fit(pdf["tokens"].tolist(), pdf["source_hash"].tolist(), pdf["text_hash"].tolist(), capacity)
+        place, residual, conflict = best_fit(pdf["tokens"].tolist(), pdf["source_hash"].tolist(), pdf["text_hash"].tolist(), capacity)
         room = np.array(residual, dtype=np.int32)
         return pd.DataFrame({
             "key": pdf["key"], "piece": pdf["piece"], "tokens": pdf["tokens"], "source_hash": pdf["source_hash"], "text_hash": pdf["text_hash"],
-            "container": [f"{key[0]}-{c}" for c in place], "room": room[place],
+            "container": [f"{key[0]}-{c}" for c in place], "room": room[place], "conflict": conflict,
         })
 
     return run
 
 
 def fill_containers(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """(key, piece, tokens, container string): every item in one container, no container over the capacity."""
+    """(key, piece, tokens, container string, conflict): every item in one container, no container over the capacity; conflict: the item had to go
+    where its source or its cluster already was."""
     groups = max(1, df.count() // GROUP)
-    out = _ITEM + ", container string, room int"
+    out = _ITEM + ", container string, room int, conflict boolean"
     spread = F.pmod(F.xxhash64("key", "piece"), F.lit(groups))
     items = item_sizes(df, key, text, source, capacity, vocabulary).withColumn("box", F.concat(F.lit("a"), spread.cast("string")))
     first = materialize(items.groupBy("box").applyInPandas(_pack(capacity), out), "packed")
-    again = first.where(F.col("room") > capacity // SLACK).drop("container", "room")
+    again = first.where(F.col("room") > capacity // SLACK).drop("container", "room", "conflict")
     again = again.withColumn("box", F.concat(F.lit("b"), F.pmod(F.xxhash64("key", "piece"), F.lit(1 + groups // 1000)).cast("string")))
     second = again.groupBy("box").applyInPandas(_pack(capacity), out)
     both = first.where(F.col("room") <= capacity // SLACK).unionByName(second)
-    return both.select(F.col("key").alias(key), "piece", "tokens", "container")
+    return both.select(F.col("key").alias(key), "piece", "tokens", "container", "conflict")
+
+
+def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: items, containers, the fewest containers that could hold the tokens, the share of the capacity that is filled, and items in conflict."""
+    total = packed.agg(F.count("*").alias("items"), F.countDistinct("container").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.col("conflict").cast("int")), F.lit(0)).alias("conflicts"))
+    fill = F.coalesce(F.try_divide(F.col("tokens"), F.col("containers") * capacity), F.lit(0.0))
+    return total.select("items", "containers", F.ceil(F.col("tokens") / capacity).alias("fewest"), F.round(fill, 6).alias("fill"), "conflicts")
+
+
+def p8_report(spark, sf_dir: str) -> DataFrame:
+    return packing_report(materialize(fill_containers(table(spark, sf_dir, "documents")), "containers"))
 
 
 def p8_containers(spark, sf_dir: str) -> DataFrame:

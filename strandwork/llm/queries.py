@@ -22,6 +22,7 @@ def queries() -> dict:
         "p6_clusters": p6.p6_clusters,
         "p7_ids": p7.p7_ids,
         "p8_containers": p8.p8_containers,
+        "p8_report": p8.p8_report,
         "p9_classes": p9.p9_classes,
         "p9_found": p9.p9_found,
         "p9_fuzzy": p9.p9_fuzzy,

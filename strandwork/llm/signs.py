@@ -67,6 +67,14 @@ def suffix(source: str) -> str:
     return name[dot:] if dot > 0 else ""
 
 
+def suffix_rows(suffixes, most: int = 1000) -> list:
+    """The distinct rows of a table of suffixes, for the driver; a table with more than ``most`` rows is no such table and is refused."""
+    rows = suffixes.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} suffixes")
+    return rows
+
+
 def path_sign(source: str | None) -> str | None:
     """'foreign', 'generated' or 'built' by the directories below the repository and the file's name."""
     if not source:

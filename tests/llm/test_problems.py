@@ -285,6 +285,29 @@ def test_p5_pieces(text):
         assert all(text[b - 1] == "\n" and 15 <= len(text[c:b].split()) <= 20 for (_, b), (c, _) in zip(parts, parts[1:]))
 
 
+def test_p5_deepest_valley_beats_a_shallow_line_end():
+    cats, tax = "Cats purr and cats sleep near cats. ", "Taxes rise and taxes fall with taxes. "
+    text = cats * 30 + tax * 4 + "Taxes rise\nand taxes fall with taxes. " + tax * 40
+    (_, end), *_ = p5_pieces.pieces(text)
+    assert end == len(cats * 30) and len(text.split()) > 300
+
+
+def test_p4_has_no_windows():
+    wide = ", ".join(f"T{i} extends Base<K{i}>" for i in range(200))
+    many = ", ".join(f"failure.Kind{i}" for i in range(80))
+    note = "@Table(\n" + "\n".join(f'  a{i} = "x",' for i in range(60)) + "\n)\n"
+    doc = "/** Counts all the things of a page. */\n"
+    shape = " | ".join(f'"kind{i}"' for i in range(90))
+    found = lambda text, language: [(n, line) for n, line, *_ in p4_functions.functions(text, language)]
+    assert found(f"{doc}function f<{wide}>(a: T1): void {{\n}}\n", "typescript") == [("f", 2)] and len(wide) > 2000
+    assert found(f"{doc}const g = (a: string): {shape} => {{\n}}\n", "typescript") == [("g", 2)] and len(shape) > 600
+    assert found(f"class A {{\n{doc}{note}public int h(int a) throws {many} {{ return 1; }}\n}}\n", "java") == [("h", 65)] and len(many) > 600
+    assert found("/// Counts all the things of a page.\n#[derive(\n" + "  A,\n" * 50 + ")]\nfn k(a: u8) -> u8 { a }\n", "rust") == [("k", 54)]
+    assert p4_functions.angle("<A extends {b: c; d: e}, F = (x: number) => void>(", 0) == 49 and p4_functions.angle("< b; c >", 0) == -1 == p4_functions.angle("< b) > c", 0)
+    closed = p4_functions.Closers("a(b[c]{d}) (")
+    assert [closed(i) for i in (1, 3, 6, 11)] == [10, 6, 9, -1]
+
+
 def test_p5_table(spark):
     items = [("d", 1, "w " * 301), ("d", 2, "w " * 300), ("d", 3, "x" * 3001), ("d", 4, None), ("d", 5, ""), ("d", 1, "w " * 301), ("d", None, "w " * 301)]
     out = p5_pieces.split_oversized(spark.createDataFrame(items, "kind string, item_id long, text string"))
@@ -319,13 +342,17 @@ def test_p8(spark):
     assert max(size.values()) <= 2048 and {r.doc_id for r in rows} == {d[0] for d in docs if d[2]}
     assert sum(r.tokens for r in rows if r.doc_id == 900) == 5001 and all(r.tokens == 2048 for r in rows if r.doc_id == 900 and r.piece < 2)
     assert len(size) <= math.ceil(sum(size.values()) / 2048) + 2
+    report = p8_packing.packing_report(p8_packing.fill_containers(spark.createDataFrame(docs, "doc_id long, source string, text string"))).first()
+    assert (report.containers, report.conflicts) == (len(size), sum(r.conflict for r in rows)) and report.fewest == math.ceil(sum(size.values()) / 2048) and report.fill > 0.9
     at = {r.doc_id: r.container for r in rows}
     assert at[903] != at[904]  # equal texts of one source are kept apart where that costs nothing
 
 
 def test_p8_conflicts_open_no_container():
-    place, residual = p8_packing.best_fit([5, 5, 5, 5], [1, 1, 1, 1], [2, 2, 2, 2], 10)
-    assert len(residual) == 2 and place == [0, 0, 1, 1]
+    place, residual, conflict = p8_packing.best_fit([5, 5, 5, 5], [1, 1, 1, 1], [2, 2, 2, 2], 10)
+    assert len(residual) == 2 and place == [0, 0, 1, 1] and conflict == [False, True, False, True]
+    place, _, conflict = p8_packing.best_fit([6, 5, 4, 4], [1, 2, 1, 3], [0, 0, 0, 0], 10)
+    assert place == [0, 1, 1, 0] and not any(conflict)  # the tightest fit holds the third item's source
 
 
 def test_p9(spark):
