@@ -77,22 +77,22 @@ def _read(code_suffixes):
 
 
 def not_hand_written(df: DataFrame, suffixes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sign): files with a sign, or recognised as vendored copies ('copy').
+    """(key, sign, copied): files with a sign, or recognised as vendored copies ('copy'); copied: the share of a file's fingerprints that recur in many
+    repositories or in marked files of others (null without fingerprints).
 
-    The driver reads the code suffixes (see ``suffix_rows``)."""
+    The driver reads the code suffixes (see ``suffix_rows``). A fingerprint that a third of the files share is one row of ``spread``; the other side of
+    its join is left to adaptive execution to split."""
     code = frozenset(r[0].lower() for r in signs.suffix_rows(suffixes.where("is_code").select("suffix")) if r[0])
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "source", "raw_text")
     read = materialize(rows.mapInArrow(_read(code), _PART), "prints")
-    signed = read.where("print = 0 AND sign IS NOT NULL").groupBy("id").agg(F.max("sign").alias("sign"))
+    signed = read.where("print = 0").groupBy("id").agg(F.max("sign").alias("sign"))
     prints = read.where("print <> 0")
     by_repo = prints.where("repo <> 0").groupBy("print", "repo").agg(F.max((F.col("sign") == "foreign").cast("int")).alias("marked"))
     spread = by_repo.groupBy("print").agg(F.count("*").alias("repos"), F.sum(F.coalesce("marked", F.lit(0))).alias("marked"))
-    spread = spread.where((F.col("repos") >= MANY) | (F.col("marked") >= MARKED))
-    unsigned = prints.where("sign IS NULL").select("id", "print")
-    recurring = unsigned.join(spread, "print").groupBy("id").agg(F.count("*").alias("recurring"))
-    size = unsigned.groupBy("id").agg(F.count("*").alias("n"))
-    copies = size.join(recurring, "id").where(F.col("recurring") >= SHARE * F.col("n")).select("id", F.lit("copy").alias("sign"))
-    return signed.unionByName(copies).select(F.col("id").alias(key), "sign")
+    spread = spread.where((F.col("repos") >= MANY) | (F.col("marked") >= MARKED)).select("print", F.lit(1).alias("hit"))
+    share = prints.select("id", "print").join(spread, "print", "left").groupBy("id").agg((F.count("hit") / F.count("*")).alias("copied"))
+    found = signed.join(share, "id", "left").withColumn("sign", F.when(F.col("sign").isNull() & (F.col("copied") >= SHARE), "copy").otherwise(F.col("sign")))
+    return found.where("sign IS NOT NULL").select(F.col("id").alias(key), "sign", "copied")
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

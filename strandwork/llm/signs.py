@@ -55,7 +55,7 @@ STYLE = {".py": "hash", ".rb": "hash", ".sh": "hash", ".rs": "rust", ".sql": "da
 _NUMBER = re.compile(r"(?<![\w.])[+-]?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])")
 _WORD = re.compile(r"[^\W\d]\w*")
 _DIGITS = re.compile(r"\d+")
-_IMPORT = re.compile(r"(import|from|use|package|require|using|#include)\b|(const|let|var) \w+ = require\(|[()]$|""$")
+_IMPORT = re.compile(r'(import|from|use|package|require|using|#include)\b|(const|let|var) \w+ = require\(|[()]$|(\w+ )?""$')
 #: Words that make a line's shape.
 _STATEMENT = set("def end return pub fn func class struct const let var export function public private static final if for while switch case throw raise new await async".split())
 LONG_LINE = 200

@@ -292,6 +292,12 @@ def test_p5_deepest_valley_beats_a_shallow_line_end():
     assert end == len(cats * 30) and len(text.split()) > 300
 
 
+def test_p3_import_blocks_have_no_shape():
+    lines = "\n".join(f'\t"lib/part{i}"' for i in range(12)) + '\n\tother "lib/part"'
+    text = "package a\n\nimport (\n" + lines + "\n)\n\nfunc Go(a int) {\n\tb.C(a)\n}\n"
+    assert signs.content_sign("r/x/a.go", text, frozenset({".go"})) is None
+
+
 def test_p4_has_no_windows():
     wide = ", ".join(f"T{i} extends Base<K{i}>" for i in range(200))
     many = ", ".join(f"failure.Kind{i}" for i in range(80))
