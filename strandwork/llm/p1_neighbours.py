@@ -1,11 +1,12 @@
 """p1: the k most similar vectors of every vector, by additive quantisation.
 
 Codebooks: ``BOOKS`` full-dimensional codebooks of ``WORDS`` codewords are trained on the residuals of a bounded
-sample (``SAMPLE`` vectors). Encoding: a beam of ``BEAM`` partial sums per vector keeps the best sums of codewords, and
+sample (``TRAIN`` vectors). Encoding: a beam of ``BEAM`` partial sums per vector keeps the best sums of codewords, and
 the norm of the reconstruction is stored. Scoring: a query's dot products with all codewords form its lookup table; a
 candidate's score is the sum of its table entries over its stored norm. The best ``RERANK`` scores of a cell are
 reranked by exact cosines. Candidates are classes that hold a chunk; classes of queries alone only ask. Which candidates a query scores is set by the coarse codebook: rows are routed to
-their ``probes`` nearest coarse codewords, and a query scores everything in its cells.
+their ``probes`` nearest coarse codewords, and a query scores everything in its cells. Cells come by in order; one with more than ``V.CELL`` vectors is searched in
+pairs of blocks. This serves lists with a floor well above chance; whole lists come from ``scanned_neighbours``, which leaves out the cells.
 
 Defined results: unusable vectors and null keys give no row; duplicate rows count once; equal vectors are each
 other's neighbours at cosine 1; ties go to the smaller id; a vector is never its own neighbour; an empty table gives no
@@ -22,14 +23,19 @@ from pyspark.sql.window import Window
 from strandwork.llm import vecspace as V
 from strandwork.session import materialize, table
 
-BOOKS, WORDS, BEAM, RERANK, SAMPLE, PROBES = 8, 64, 4, 64, 16384, 4
-_ROUTED = "space string, cell int, vh long, blob binary, code binary, norm float, kind int, key string"
-_SCORED = "kind int, a long, b long, cosine double, key string"
+BOOKS, WORDS, BEAM, RERANK, TRAIN, PROBES = 8, 64, 4, 64, 16384, 4
+#: Codewords a book for whole lists; rows of a shard (fewer while there are under 32 shards); one of how many is reranked exactly for each query.
+SCAN_WORDS, SHARD, SHARE = 256, 65536, 40
+_ROUTED = "space string, cell long, vh long, blob binary, code binary, norm float, kind int, key string"
+#: kind 0: candidate b of class a; 1 and 2: row ``key`` of a chunk or a query has class a; 3: class a of a large cell b, with its space (key), block and what it carries.
+_SCORED = "kind int, a long, b long, cosine double, key string, blob binary, code binary, norm float, own int, block int"
 
 
 def train(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 11) -> np.ndarray:
     """(books, words, d) residual codebooks: k-means of what the books before leave over; fewer words for tiny samples."""
     rng = np.random.default_rng(seed)
+    if len(sample) > TRAIN:
+        sample = sample[np.sort(rng.choice(len(sample), TRAIN, replace=False))]
     rest, out = sample.astype(np.float32).copy(), []
     words = min(words, len(sample))
     for _ in range(books):
@@ -64,13 +70,18 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return np.take_along_axis(codes, one, 1)[:, 0], np.sqrt(np.einsum("ij,ij->i", recon, recon)).astype(np.float32)
 
 
-def scores(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Approximate cosines of every query with every code, from lookup tables only."""
-    tables = np.einsum("qd,mkd->mqk", queries, books, optimize=True)
-    out = np.take(tables[0], codes[:, 0], axis=1)
-    for t, c in zip(tables[1:], codes[:, 1:].T):
-        out += np.take(t, c, axis=1)
-    return out / np.maximum(norms, 1e-6)
+def scores(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Approximate cosines of every query with every code, from lookup tables only: a table row holds one codeword for all queries."""
+    tables = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books, queries, optimize=True))
+    out = np.empty((len(queries), len(codes)), dtype=np.float32)
+    for i in range(0, len(codes), block):
+        c = codes[i : i + block]
+        total = tables[0].take(c[:, 0], axis=0)
+        for t, own in zip(tables[1:], c[:, 1:].T):
+            total += t.take(own, axis=0)
+        total /= np.maximum(norms[i : i + block], 1e-6)[:, None]
+        out[:, i : i + block] = total.T
+    return out
 
 
 def _router(shared, probes):
@@ -84,24 +95,32 @@ def _router(shared, probes):
                 code = [b""] * len(x) if codes is None else [c.tobytes() for c in codes]
                 r = cells.shape[1]
                 obj = lambda v: np.repeat(np.array(v, dtype=object), r)
-                yield pd.DataFrame({"space": space, "cell": cells.ravel(), "vh": np.repeat(hashes, r), "blob": obj(blobs), "code": obj(code), "norm": np.repeat(norms, r), "kind": np.repeat([0 if h in chunks else 1 for h in hashes.tolist()], r), "key": None})
+                yield pd.DataFrame({"space": space, "cell": cells.ravel().astype(np.int64), "vh": np.repeat(hashes, r), "blob": obj(blobs), "code": obj(code), "norm": np.repeat(norms, r), "kind": np.repeat([0 if h in chunks else 1 for h in hashes.tolist()], r), "key": None})
             if members:
                 h, kinds, keys = zip(*members)
                 h = np.array(h, dtype=np.int64)
-                yield pd.DataFrame({"space": "", "cell": (-1 - (h * 31 + np.arange(len(h))) % 199).astype(np.int32), "vh": h, "blob": None, "code": None, "norm": 0.0, "kind": np.array(kinds, dtype=np.int32), "key": list(keys)})
+                yield pd.DataFrame({"space": "", "cell": -1 - (h * 31 + np.arange(len(h))) % 199, "vh": h, "blob": None, "code": None, "norm": 0.0, "kind": np.array(kinds, dtype=np.int32), "key": list(keys)})
 
     return route
 
 
-def _cell(shared, k, floor, block=256):
-    def search(key, pdf):
-        space, cell = key
-        if cell < 0:
-            return pd.DataFrame({"kind": pdf["kind"] + 1, "a": pdf["vh"], "b": None, "cosine": None, "key": pdf["key"].astype(object)})
-        pdf = pdf.sort_values("kind", kind="stable").drop_duplicates("vh")  # classes with a chunk first: only these are candidates
+def _frame(kind, a, b=None, cosine=None, key=None, blob=None, code=None, norm=0.0, own=0, block=0):
+    n = len(a)
+    return pd.DataFrame({"kind": np.full(n, kind, dtype=np.int32) if np.isscalar(kind) else kind, "a": a, "b": b, "cosine": cosine, "key": key, "blob": blob, "code": code, "norm": norm, "own": own, "block": block}, index=range(n))
+
+
+def _members(pdf):
+    return _frame((pdf["kind"] + 1).to_numpy(dtype=np.int32), pdf["vh"].to_numpy(), key=pdf["key"].to_numpy())
+
+
+def _search(shared, k, floor, cap, block=256):
+    """Candidates of every class of a cell; rows are sorted so that a class that holds a chunk (kind 0) is met as such."""
+
+    def work(space, cell, pdf):
+        pdf = pdf.sort_values("kind", kind="stable")  # classes with a chunk first: only these are candidates
         h, n = pdf["vh"].to_numpy(), int((pdf["kind"] == 0).sum())
         if len(h) < 2 or not n:
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "cosine": [], "key": np.array([], dtype=object)})
+            return _frame(0, h[:0])
         x = V.unpack(pdf["blob"], int(space.partition("\x1f")[0]))
         books = shared.value.get(space, (None, None))[1]
         codes = None if books is None else np.frombuffer(b"".join(pdf["code"]), dtype=np.uint8).reshape(len(h), -1)
@@ -123,14 +142,17 @@ def _cell(shared, k, floor, block=256):
             left.append(np.repeat(h[i : i + block], keep.sum(1)))
             right.append(h[t[keep]])
             cosine.append(c[keep])
-        return pd.DataFrame({"kind": 0, "a": np.concatenate(left), "b": np.concatenate(right), "cosine": np.concatenate(cosine).astype(np.float64), "key": None})
+        return _frame(0, np.concatenate(left), np.concatenate(right), np.concatenate(cosine).astype(np.float64))
 
-    return search
+    def emit(pdf, block):
+        return _frame(3, *(pdf[c].to_numpy() for c in ("vh", "cell")), None, *(pdf[c].to_numpy() for c in ("space", "blob", "code", "norm", "kind")), block)
+
+    return lambda frames: V.stream_cells(frames, work, emit, _members, cap)
 
 
 def _ranked(found: DataFrame, k: int, floor: float, asks=None) -> DataFrame:
     """Lists of the members of each class from scored class pairs; ``asks`` (a Column over kind and key) picks the rows that get one."""
-    members = found.where("kind > 0").select((F.col("kind") - 1).alias("kind"), F.col("a").alias("vh"), "key").distinct()
+    members = found.where("kind IN (1, 2)").select((F.col("kind") - 1).alias("kind"), F.col("a").alias("vh"), "key").distinct()
     ids = members.where("kind = 0").select("vh", F.col("key").cast("long").alias("id"))
     first = ids.withColumn("n", F.row_number().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
@@ -145,11 +167,11 @@ def _ranked(found: DataFrame, k: int, floor: float, asks=None) -> DataFrame:
     return each.select(F.col("kind").alias("left_kind"), F.col("key").alias("left_key"), F.col("x.id").alias("right_id"), F.col("x.cosine").alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
-def nearest_vectors(chunks: DataFrame, queries: DataFrame | None = None, k: int = 10, floor: float = -2.0, probes: int = PROBES) -> DataFrame:
-    """(left_kind 0 chunk | 1 query, left_key string, right_id long, cosine, rank): the lists of all rows over all chunk vectors."""
+def nearest_vectors(chunks: DataFrame, queries: DataFrame | None = None, k: int = 10, *, floor: float, probes: int = PROBES, cap: int = V.CELL) -> DataFrame:
+    """(left_kind 0 chunk | 1 query, left_key string, right_id long, cosine, rank): of the lists of all rows over all chunk vectors what is at or above ``floor``."""
     rows = V.vector_rows(chunks, F.col("chunk_id"), 0)
     n = chunks.count()
-    sample = V.fit_sample(rows, n, min(SAMPLE, max(2048, n // 15)))  # of chunks: many queries in one place must not narrow its cells
+    sample = V.fit_sample(rows, n, V.sample_size(n))  # of chunks: many queries in one place must not narrow its cells
     if queries is not None:
         rows = rows.unionByName(V.vector_rows(queries, F.col("query_key"), 1))
     total = max(1, sum(map(len, sample.values())))
@@ -157,90 +179,108 @@ def nearest_vectors(chunks: DataFrame, queries: DataFrame | None = None, k: int
         {s: (V.spread(x, V.cell_count(n * len(x) // total)), train(x) if len(x) >= 256 else None) for s, x in sample.items()}
     )
     routed = rows.mapInPandas(_router(shared, probes), _ROUTED)
-    found = materialize(routed.groupBy("space", "cell").applyInPandas(_cell(shared, k, floor), _SCORED), "lists")
-    return _ranked(found, k, floor)
-
+    first = materialize(V.by_cell(routed).mapInPandas(_search(shared, k, floor, cap), _SCORED), "lists")
+    large = first.where("kind = 3").select(F.col("key").alias("space"), F.col("b").alias("cell"), F.col("a").alias("vh"), "blob", "code", "norm", F.col("own").alias("kind"), "block")
+    again = V.block_pairs(large, ["blob", "code", "norm", "kind"]).withColumn("key", F.lit(None).cast("string")).mapInPandas(_search(shared, k, floor, None), _SCORED)
+    return _ranked(first.where("kind < 3").unionByName(again), k, floor)
 
-def _blocks(shared, every, blocks, shards):
-    """Every class goes to a shard in all query blocks; a class with a query goes to its block in all shards."""
 
+def _shards(shared, shards):
+    """Every class of a chunk goes to one shard as a candidate (kind 0), every class that asks to all shards (kind 1)."""
     def route(batches):
-        for space, hashes, blobs, x, members in V.parsed_batches(batches, needs=lambda _, key: int(key) % every == 0):
+        for space, hashes, blobs, x, members in V.parsed_batches(batches, needs=lambda kind, _: kind == 0):
             books = shared.value.get(space)
-            asking = {h for h, _, key in members if int(key) % every == 0}
-            parts = []
-            if len(hashes):
-                codes, norms = (None, np.zeros(len(x), np.float32)) if books is None else encode(x, books)
-                code = np.array([b""] * len(x) if codes is None else [c.tobytes() for c in codes], dtype=object)
-                blob, shard = np.array(blobs, dtype=object), (hashes % shards).astype(np.int32)
-                parts.append(pd.DataFrame({"space": space, "cell": np.tile(np.arange(blocks, dtype=np.int32), len(x)), "shard": np.repeat(shard, blocks), "vh": np.repeat(hashes, blocks), "blob": np.repeat(blob, blocks), "code": np.repeat(code, blocks), "norm": np.repeat(norms, blocks), "kind": 0, "key": None}))
-            if asking:
-                packed = dict(zip(hashes.tolist(), blobs))
-                own = np.array(sorted(asking), dtype=np.int64)
-                blob = np.array([packed.get(h) for h in own.tolist()], dtype=object)
-                fresh = np.array([b is not None for b in blob])  # the others asked in an earlier block
-                own, blob = own[fresh], blob[fresh]
-                n = len(own)
-                if n:
-                    parts.append(pd.DataFrame({"space": space, "cell": np.repeat((own // shards % blocks).astype(np.int32), shards), "shard": np.tile(np.arange(shards, dtype=np.int32), n), "vh": np.repeat(own, shards), "blob": np.repeat(blob, shards), "code": None, "norm": 0.0, "kind": 1, "key": None}))
+            chunks = {h for h, kind, _ in members if kind == 0}
+            own = np.array([h in chunks for h in hashes.tolist()], dtype=bool)
+            if own.any():
+                codes, norms = (None, np.zeros(own.sum(), np.float32)) if books is None else encode(x[own], books)
+                code = [b""] * int(own.sum()) if codes is None else [c.tobytes() for c in codes]
+                blob = np.array(blobs, dtype=object)[own]
+                yield pd.DataFrame({"space": space, "cell": hashes[own] % shards, "vh": hashes[own], "blob": blob, "code": np.array(code, dtype=object), "norm": norms, "kind": 0, "key": None})
             if members:
-                h, _, keys = zip(*members)
+                h, kinds, keys = zip(*members)
                 h = np.array(h, dtype=np.int64)
-                parts.append(pd.DataFrame({"space": "", "cell": -1, "shard": ((h * 31 + np.arange(len(h))) % 199).astype(np.int32), "vh": h, "blob": None, "code": None, "norm": 0.0, "kind": 2, "key": list(keys)}))
-            yield from parts
-
-    return route
-
-
-def _scan(shared, k, depth, block=64):
-    def search(key, pdf):
-        space, cell, _ = key
-        if cell < 0:
-            return pd.DataFrame({"kind": 1, "a": pdf["vh"], "b": None, "cosine": None, "key": pdf["key"].astype(object)})
-        pdf = pdf.drop_duplicates(["kind", "vh"])
-        rows, asks = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        if not len(rows) or not len(asks):
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "cosine": [], "key": np.array([], dtype=object)})
-        d = int(space.partition("\x1f")[0])
-        x, q, h, ah = V.unpack(rows["blob"], d), V.unpack(asks["blob"], d), rows["vh"].to_numpy(), asks["vh"].to_numpy()
+                yield pd.DataFrame({"space": "", "cell": -1 - (h * 31 + np.arange(len(h))) % 199, "vh": h, "blob": None, "code": None, "norm": 0.0, "kind": np.array(kinds, dtype=np.int32), "key": list(keys)})
+
+    def ask(batches):
+        for space, hashes, blobs, _, members in V.parsed_batches(batches):
+            n = len(hashes)
+            if n:
+                yield pd.DataFrame({"space": space, "cell": np.tile(np.arange(shards, dtype=np.int64), n), "vh": np.repeat(hashes, shards), "blob": np.repeat(np.array(blobs, dtype=object), shards), "code": None, "norm": 0.0, "kind": 1, "key": None})
+
+    return route, ask
+
+
+def _scan(shared, k, share, block=64):
+    """Frames sorted by shard, candidates before queries: the candidates of a shard are held, the queries stream by."""
+
+    def run(frames):
+        now, parts, held = None, [], None
+        for pdf in frames:
+            own = (pdf["space"] == "").to_numpy()
+            if own.any():
+                yield _members(pdf[own])
+                pdf = pdf[~own]
+            for key, some in pdf.groupby(["space", "cell"], sort=False):
+                if key != now:
+                    now, parts, held = key, [], None
+                rows, asks = some[some["kind"] == 0], some[some["kind"] == 1]
+                if len(rows):
+                    parts.append(rows)
+                if len(asks) and (parts or held is not None):
+                    if held is None:
+                        held, parts = shard(key[0], pd.concat(parts).drop_duplicates("vh")), []
+                    yield search(key[0], held, asks.drop_duplicates("vh"))
+
+    def shard(space, rows):
         books = shared.value.get(space)
-        codes = None if books is None else np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(h), -1)
-        norms, few = rows["norm"].to_numpy(), min(depth, len(h))
+        codes = None if books is None else np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+        return V.unpack(rows["blob"], int(space.partition("\x1f")[0])), rows["vh"].to_numpy(), books, codes, rows["norm"].to_numpy()
+
+    def search(space, held, asks):
+        x, h, books, codes, norms = held
+        q, ah, few = V.unpack(asks["blob"], x.shape[1]), asks["vh"].to_numpy(), min(len(h), max(4 * k, -(-len(h) // share)))
         out = []
         for i in range(0, len(q), block):
             y = q[i : i + block]
             s = y @ x.T if codes is None else scores(y, books, codes, norms)
-            top = np.argpartition(-s, few - 1, axis=1)[:, :few]
-            exact = np.einsum("qd,qrd->qr", y, x[top], optimize=True)
-            exact[h[top] == ah[i : i + block, None]] = -2  # its own class comes from the members
-            order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            c, t = np.take_along_axis(exact, order, 1), np.take_along_axis(top, order, 1)
-            keep = c > -1.5
-            out.append((np.repeat(ah[i : i + block], keep.sum(1)), h[t[keep]], c[keep]))
+            top = np.argpartition(s, len(h) - few, axis=1)[:, len(h) - few :]
+            for row, at, own in zip(y, top, ah[i : i + block].tolist()):
+                exact = x[at] @ row
+                exact[h[at] == own] = -2  # its own class comes from the members
+                best = np.argsort(-exact, kind="stable")[: k + 1]
+                best = best[exact[best] > -1.5]
+                out.append((np.full(len(best), own, dtype=np.int64), h[at[best]], exact[best]))
         a, b, c = (np.concatenate(v) for v in zip(*out))
-        return pd.DataFrame({"kind": 0, "a": a, "b": b, "cosine": c.astype(np.float64), "key": None})
+        return _frame(0, a, b, c.astype(np.float64))
 
-    return search
+    return run
 
 
-def scanned_neighbours(chunks: DataFrame, k: int = 10, every: int = 20, depth: int = 1024, shard: int = 16384, block: int = 16384) -> DataFrame:
-    """The lists of the vectors whose id is divisible by ``every``, scored against all rows in blocks, without a coarse codebook.
+def scanned_neighbours(chunks: DataFrame, queries: DataFrame | None = None, k: int = 10, every: int = 20, share: int = SHARE, shard: int = SHARD) -> DataFrame:
+    """The whole lists of the chunk vectors whose id is divisible by ``every`` and of all query vectors, scored against all rows without a coarse codebook.
 
-    The stated query set is cut into blocks and the rows into shards; every code of a shard is scored through the lookup tables, and the best
-    ``depth`` of each shard are reranked exactly. For neighbours that are hardly more similar than chance no cell can stand in for this."""
+    The rows are dealt to shards once, the stated query set goes to every shard and streams by; every code of a shard is scored through the lookup tables, and the best
+    of each shard, one in ``share`` of its rows, are reranked exactly. For neighbours that are hardly more similar than chance no cell can stand in for this."""
     rows = V.vector_rows(chunks, F.col("chunk_id"), 0)
     n = chunks.count()
-    sample = V.fit_sample(rows, n, min(SAMPLE, max(2048, n // 15)))
-    shared = rows.sparkSession.sparkContext.broadcast({s: train(x) for s, x in sample.items() if len(x) >= 256})
-    asked = chunks.where(F.col("chunk_id") % every == 0).count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
-    sent = rows.mapInPandas(_blocks(shared, every, blocks, shards), _ROUTED.replace("cell int", "cell int, shard int"))
-    found = materialize(sent.groupBy("space", "cell", "shard").applyInPandas(_scan(shared, k, depth), _SCORED), "lists")
-    return _ranked(found, k, -2.0, F.expr(f"try_cast(key AS bigint) % {every} = 0"))
+    sample = V.fit_sample(rows, n, V.sample_size(n))
+    shared = rows.sparkSession.sparkContext.broadcast({s: train(x, words=SCAN_WORDS) for s, x in sample.items() if len(x) >= 256})
+    route, ask = _shards(shared, max(-(-n // shard), min(32, -(-n // (shard // 16))), 1))
+    asking = rows.where(F.expr(f"try_cast(key AS bigint) % {every} = 0"))
+    if queries is not None:
+        own = V.vector_rows(queries, F.col("query_key"), 1)
+        rows, asking = rows.unionByName(own), asking.unionByName(own)
+    sent = rows.mapInPandas(route, _ROUTED).unionByName(asking.mapInPandas(ask, _ROUTED))
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sent.repartition(parts, "space", "cell").sortWithinPartitions("space", "cell", "kind", "vh")
+    found = materialize(sent.mapInPandas(_scan(shared, k, share), _SCORED), "lists")
+    return _ranked(found, k, -2.0, F.expr(f"kind = 1 OR try_cast(key AS bigint) % {every} = 0"))
 
 
 def p1_lists(spark, sf_dir: str) -> DataFrame:
-    return scanned_neighbours(table(spark, sf_dir, "chunk_embeddings")).select(F.col("left_key").cast("long").alias("chunk_id"), "right_id", "cosine", "rank")
+    """Lists of the stated query set: left_kind 0 with a chunk_id or 1 with a query_key."""
+    return scanned_neighbours(table(spark, sf_dir, "chunk_embeddings"), table(spark, sf_dir, "query_embeddings"))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandwork.llm.textpairs import mix
+
 BLANKS = " \t\r\n\x0b\x0c"
 
 
@@ -133,9 +135,84 @@ def parsed_batches(batches, size: int = 4096, needs=None):
         yield flush(space)
 
 
-def cell_count(n: int, per_cell: int = 120, least: int = 16, most: int = 8192) -> int:
-    """Number of coarse codewords for n rows; bounded, so the broadcast codebook is at most 8192 vectors."""
-    return int(min(most, max(least, n // per_cell)))
+#: The codebook's bound: this many codewords at most, so its broadcast and the sample it is drawn from are bounded.
+WORDS, SAMPLE = 32768, 65536
+#: A cell with more distinct vectors is joined with itself in pairs of blocks of this size.
+CELL = 4096
+
+
+def cell_count(n: int, per_cell: int = 120, least: int = 16, turn: int = 8192, most: int = WORDS) -> int:
+    """Number of coarse codewords for n rows: one for ``per_cell`` rows up to ``turn`` codewords, from there on growing with the square root of n, which
+    balances routing (rows x codewords) and the work in cells (rows x rows a cell), up to ``most``."""
+    words = n / per_cell
+    if words > turn:
+        words = turn * (words / turn) ** 0.5
+    return int(min(most, max(least, words)))
+
+
+def sample_size(n: int) -> int:
+    return min(SAMPLE, max(2048, n // 15))
+
+
+def stream_cells(frames, work, emit, members, cap: int | None = CELL):
+    """Runs ``work(space, cell, frame)`` for every cell of frames that are sorted by (space, cell, vh); a frame holds a class once.
+
+    At most ``cap`` rows of a cell are held: a larger one comes out again, by ``emit``, as rows with the number of their block. Rows without
+    a space are members of classes and go through ``members`` as they come."""
+    held: pd.DataFrame | None = None
+    out: tuple = (None, None, 0, 0)  # space, cell, last class, classes so far of the cell that is coming out
+
+    def deal(pdf, last):
+        nonlocal held, out
+        space, cell, vh = pdf["space"].to_numpy(), pdf["cell"].to_numpy(), pdf["vh"].to_numpy()
+        border = (cell[1:] != cell[:-1]) | (space[1:] != space[:-1])
+        edges = [0, *(np.flatnonzero(border) + 1).tolist(), len(pdf)]
+        fresh = np.r_[True, border | (vh[1:] != vh[:-1])]
+        for i, j in zip(edges[:-1], edges[1:]):
+            one = pdf.iloc[i:j][fresh[i:j]]
+            key = (space[i], cell[i])
+            if key == out[:2] or (cap is not None and len(one) > cap):
+                seen = out[3] if key == out[:2] else 0
+                if key == out[:2] and one["vh"].iloc[0] == out[2]:
+                    one = one.iloc[1:]
+                out = (*key, vh[j - 1], seen + len(one))
+                yield emit(one, ((seen + np.arange(len(one))) // cap).astype(np.int32))
+            elif j == len(pdf) and not last:
+                held = one
+            else:
+                yield work(*key, one)
+
+    for pdf in frames:
+        own = (pdf["space"] == "").to_numpy()
+        if own.any():
+            yield members(pdf[own])
+            pdf = pdf[~own]
+        if len(pdf):
+            both = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = None
+            yield from deal(both, False)
+    if held is not None:
+        yield from deal(held, True)
+
+
+def cell_hashes(space: str, cell: int, parts: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each part of a cell."""
+    base = np.uint64(xxhash.xxh3_64_intdigest(f"{space}\x1e{cell}"))
+    return mix(parts.astype(np.int64).view(np.uint64) ^ base).view(np.int64)
+
+
+def block_pairs(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows (space, cell, block, vh, ...) of large cells, sent to every pair of blocks that holds their own; the pair takes the place of the cell."""
+    blocks = rows.groupBy("space", "cell").agg((F.max("block") + 1).alias("blocks"))
+    sent = rows.join(blocks, ["space", "cell"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
+    return by_cell(sent.select("space", pair.alias("cell"), "vh", *carried))
+
+
+def by_cell(rows: DataFrame) -> DataFrame:
+    """Rows in order of space, cell and class, each cell in one partition."""
+    order = [c for c in ("space", "cell", "vh", "kind") if c in rows.columns]
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "space", "cell").sortWithinPartitions(*order)
 
 
 def as_frame(**columns) -> pd.DataFrame:

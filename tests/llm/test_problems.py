@@ -44,7 +44,10 @@ def test_p1(spark, data):
     q = spark.createDataFrame([("q", json.dumps(x[10].tolist()), "ml", 16, "m"), ("z", "{}", "ml", 16, "m")], "query_key string, embedding_json string, backend string, dimensions int, model_name string")
     found = p1_neighbours.nearest_vectors(df, q, k=3, floor=0.999).where("left_kind = 1").orderBy("rank").collect()
     assert [(r.left_key, r.right_id) for r in found] == [("q", 10), ("q", 11), ("q", 12)]
-    assert p1_neighbours.nearest_vectors(df.limit(0)).count() == 0
+    assert p1_neighbours.nearest_vectors(df.limit(0), floor=0.9).count() == 0
+    split = {tuple(r) for r in p1_neighbours.nearest_vectors(df, q, k=10, floor=0.9, cap=5).collect()}
+    whole = {tuple(r) for r in p1_neighbours.nearest_vectors(df, q, k=10, floor=0.9).collect()}
+    assert {r[:3] for r in split} >= {r[:3] for r in whole} and len(whole) > 100
 
 
 def test_p1_queries_are_no_candidates(spark):
@@ -76,7 +79,7 @@ def test_p1_class_of_query_and_later_chunk():
 def test_p1_scan(spark, data):
     x, df = data
     lists = {}
-    for r in p1_neighbours.scanned_neighbours(df, k=5, every=20, shard=100, block=7).collect():
+    for r in p1_neighbours.scanned_neighbours(df, k=5, every=20, shard=160).collect():
         lists.setdefault(int(r.left_key), {})[r.rank] = r.right_id
     s = x @ x.T
     np.fill_diagonal(s, -2)
@@ -84,6 +87,9 @@ def test_p1_scan(spark, data):
     hits = sum(len(set(v.values()) & set(np.argsort(-s[i], kind="stable")[:5].tolist())) for i, v in lists.items())
     assert all(sorted(v) == [1, 2, 3, 4, 5] for v in lists.values()) and hits >= 0.97 * 5 * len(lists)
     assert p1_neighbours.scanned_neighbours(df.limit(0)).count() == 0
+    q = spark.createDataFrame([("q", json.dumps(x[11].tolist()), "ml", 16, "m"), ("z", "{}", "ml", 16, "m")], "query_key string, embedding_json string, backend string, dimensions int, model_name string")
+    asked = {r.rank: r.right_id for r in p1_neighbours.scanned_neighbours(df, q, k=5, every=20).where("left_kind = 1").collect()}
+    assert [asked[i] for i in (1, 2, 3)] == [10, 11, 12] and len(asked) == 5
 
 
 def test_p1_scan_of_late_copies(spark):
@@ -128,6 +134,30 @@ def test_p6(spark, data):
     told = p6_clusters.describe_clusters(out, texts).collect()
     assert sum(r["size"] for r in told) == len(want) and all(len(r.typical) == min(3, r["size"]) for r in told)
     assert p6_clusters.vector_clusters(df.limit(0)).count() == 0
+    assert {r.chunk_id: r.cluster_id for r in p6_clusters.vector_clusters(df, cap=7).collect()} == want  # cells in pairs of blocks
+
+
+def test_streamed_cells():
+    rng = np.random.default_rng(4)
+    sizes = {("a", 1): 3, ("a", 2): 12, ("a", 9): 1, ("b", 1): 10, ("b", 2): 25, ("b", 3): 11}
+    rows = [(s, c, v) for (s, c), n in sizes.items() for v in range(n)]
+    rows = sorted(rows + rows[2:40:3])
+    for _ in range(20):
+        cuts = np.unique(np.r_[0, rng.integers(len(rows), size=5), len(rows)])
+        frames = [vecspace.pd.DataFrame(rows[i:j], columns=["space", "cell", "vh"]) for i, j in zip(cuts[:-1], cuts[1:])]
+        frames.insert(1, vecspace.pd.DataFrame([("", -1, 5), ("", -1, 5)], columns=["space", "cell", "vh"]))
+        out = list(vecspace.stream_cells(iter(frames), lambda s, c, f: ("work", (s, c), f["vh"].tolist()), lambda f, b: ("emit", (f["space"].iloc[0], f["cell"].iloc[0]) if len(f) else None, list(zip(f["vh"], b.tolist()))), lambda f: ("members", None, f["vh"].tolist()), 10))
+        assert [x[2] for x in out if x[0] == "members"] == [[5, 5]]
+        assert {x[1]: x[2] for x in out if x[0] == "work"} == {k: list(range(n)) for k, n in sizes.items() if n <= 10}
+        for k, n in sizes.items():
+            if n > 10:
+                assert [r for x in out if x[0] == "emit" and x[1] == k for r in x[2]] == [(v, v // 10) for v in range(n)]
+
+
+def test_local_groups():
+    x = np.eye(40)[[0, 1, 0, 2, 1, 3, 0, 4, 4]]
+    label, degree = p6_clusters.local_groups(x, 0.9, block=2)
+    assert label.tolist() == [0, 1, 0, 3, 1, 5, 0, 7, 7] and degree.tolist() == [2, 1, 2, 0, 1, 0, 2, 1, 1]
 
 
 WORDS = [f"w{i}" for i in range(400)]
