@@ -151,7 +151,8 @@ def cell_count(n: int, per_cell: int = 120, least: int = 16, turn: int = 8192, m
 
 
 def sample_size(n: int) -> int:
-    return min(SAMPLE, max(2048, n // 15))
+    """Rows that a codebook is fitted on: enough to train it, and several for each codeword of the coarse one."""
+    return min(SAMPLE, max(16384, n // 15))
 
 
 def stream_cells(frames, work, emit, members, cap: int | None = CELL):
