@@ -24,8 +24,8 @@ from strandwork.llm import vecspace as V
 from strandwork.session import materialize, table
 
 BOOKS, WORDS, BEAM, RERANK, TRAIN, PROBES = 8, 64, 4, 64, 16384, 4
-#: Codewords a book for whole lists; rows of a shard (fewer while there are under 32 shards); one of how many is reranked exactly for each query.
-SCAN_WORDS, SHARD, SHARE = 256, 65536, 40
+#: Codewords a book for whole lists; rows of a shard; one of how many is reranked exactly for each query; blocks of queries while there is one shard.
+SCAN_WORDS, SHARD, SHARE, BLOCKS = 256, 65536, 40, 16
 _ROUTED = "space string, cell long, vh long, blob binary, code binary, norm float, kind int, key string"
 #: kind 0: candidate b of class a; 1 and 2: row ``key`` of a chunk or a query has class a; 3: class a of a large cell b, with its space (key), block and what it carries.
 _SCORED = "kind int, a long, b long, cosine double, key string, blob binary, code binary, norm float, own int, block int"
@@ -185,8 +185,9 @@ def nearest_vectors(chunks: DataFrame, queries: DataFrame | None = None, k: int
     return _ranked(first.where("kind < 3").unionByName(again), k, floor)
 
 
-def _shards(shared, shards):
-    """Every class of a chunk goes to one shard as a candidate (kind 0), every class that asks to all shards (kind 1)."""
+def _shards(shared, shards, blocks):
+    """Every class of a chunk goes to one shard as a candidate (kind 0), every class that asks to all shards (kind 1); with few shards the queries are
+    dealt to blocks, each of which has all shards of its own."""
     def route(batches):
         for space, hashes, blobs, x, members in V.parsed_batches(batches, needs=lambda kind, _: kind == 0):
             books = shared.value.get(space)
@@ -196,7 +197,9 @@ def _shards(shared, shards):
                 codes, norms = (None, np.zeros(own.sum(), np.float32)) if books is None else encode(x[own], books)
                 code = [b""] * int(own.sum()) if codes is None else [c.tobytes() for c in codes]
                 blob = np.array(blobs, dtype=object)[own]
-                yield pd.DataFrame({"space": space, "cell": hashes[own] % shards, "vh": hashes[own], "blob": blob, "code": np.array(code, dtype=object), "norm": norms, "kind": 0, "key": None})
+                each = lambda v: np.repeat(np.array(v, dtype=object), blocks)
+                cell = (hashes[own] % shards)[:, None] + shards * np.arange(blocks)
+                yield pd.DataFrame({"space": space, "cell": cell.ravel(), "vh": np.repeat(hashes[own], blocks), "blob": each(blob), "code": each(code), "norm": np.repeat(norms, blocks), "kind": 0, "key": None})
             if members:
                 h, kinds, keys = zip(*members)
                 h = np.array(h, dtype=np.int64)
@@ -206,7 +209,8 @@ def _shards(shared, shards):
         for space, hashes, blobs, _, members in V.parsed_batches(batches):
             n = len(hashes)
             if n:
-                yield pd.DataFrame({"space": space, "cell": np.tile(np.arange(shards, dtype=np.int64), n), "vh": np.repeat(hashes, shards), "blob": np.repeat(np.array(blobs, dtype=object), shards), "code": None, "norm": 0.0, "kind": 1, "key": None})
+                cell = np.arange(shards) + shards * ((hashes // shards) % blocks)[:, None]
+                yield pd.DataFrame({"space": space, "cell": cell.ravel(), "vh": np.repeat(hashes, shards), "blob": np.repeat(np.array(blobs, dtype=object), shards), "code": None, "norm": 0.0, "kind": 1, "key": None})
 
     return route, ask
 
@@ -266,7 +270,8 @@ def scanned_neighbours(chunks: DataFrame, queries: DataFrame | None = None, k: i
     n = chunks.count()
     sample = V.fit_sample(rows, n, V.sample_size(n))
     shared = rows.sparkSession.sparkContext.broadcast({s: train(x, words=SCAN_WORDS) for s, x in sample.items() if len(x) >= 256})
-    route, ask = _shards(shared, max(-(-n // shard), min(32, -(-n // (shard // 16))), 1))
+    shards = max(1, -(-n // shard))
+    route, ask = _shards(shared, shards, max(1, BLOCKS // shards))
     asking = rows.where(F.expr(f"try_cast(key AS bigint) % {every} = 0"))
     if queries is not None:
         own = V.vector_rows(queries, F.col("query_key"), 1)
