@@ -12,8 +12,8 @@ CODE_SUFFIXES = ".py .js .ts .tsx .jsx .java .kt .go .rs .c .h .cpp .cs .php .rb
 SKIPPED_NAMES = "package-lock.json yarn.lock pnpm-lock.yaml composer.lock poetry.lock bun.lockb shrinkwrap.json npm-shrinkwrap.json".split()
 SKIPPED_DIRS = ".git .hg .svn .venv venv node_modules dist build coverage __pycache__ .next .idea .vscode".split()
 SKIPPED_ENDINGS = r"(\.min\.(js|css)|\.bundle\.js|\.chunk\.js|\.map|\.svg)$"
-#: Lines that cleaning drops, in a form that Java and RE2 read alike.
-NOISE = r"(?i)^(table of contents|copyright\s+\(c\)\s+[0-9]{4}.*|all rights reserved\.?|generated by .*)$"
+#: Lines that cleaning drops, in lower case: whole lines, the start of a line, and a start that a year follows.
+NOISE_LINES, NOISE_START, NOISE_YEAR = ("table of contents", "all rights reserved", "all rights reserved."), "generated by ", "copyright (c) "
 MAX_FILE_BYTES, MINIFIED_LINE, MINIFIED_LINES = 524_288, 500, 10
 QUERY_WORDS, QUERY_LINES, QUERY_TERMS = 500, 80, 20
 SPACES = r"[ \t\n\x0B\f\r]+"
@@ -87,6 +87,13 @@ def clean_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, SPACES, " "))
 
 
+def is_noise(line: Column) -> Column:
+    """Whether a cleaned line is a heading of contents or a notice."""
+    low = F.lower(line)
+    year = F.substring(line, len(NOISE_YEAR) + 1, 4).rlike("^[0-9]{4}$")
+    return low.isin(*NOISE_LINES) | F.startswith(low, F.lit(NOISE_START)) | (F.startswith(low, F.lit(NOISE_YEAR)) & year)
+
+
 def let(value: Column, then) -> Column:
     """``then(value)`` with the value computed once, also where ``then`` uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -97,7 +104,7 @@ def clean_text(text: Column) -> Column:
 
     Repeats are found over the whole text by sorting (lower-cased line, position)."""
     lines = F.transform(F.split(text, r"\r\n|\n|\r"), clean_line)
-    kept = F.filter(lines, lambda x: (F.length(x) >= 2) & ~x.rlike(NOISE))
+    kept = F.filter(lines, lambda x: (F.length(x) >= 2) & ~is_noise(x))
     keyed = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
 
     def once(s: Column) -> Column:

@@ -114,9 +114,10 @@ def _symbols() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    calls = f"list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1), lambda n: n NOT IN {_in(graph.NOT_CALLS)} AND NOT starts_with(n, '_'))))"
+    calls = f"list_sort(list_distinct(list_filter(regexp_extract_all(text, {_q(graph.CALLED)}, 1), lambda n: n NOT IN {_in(graph.NOT_CALLS)} AND n[1] NOT IN {_in('_0123456789')})))"
     line = rf"trim(regexp_replace(line, '{_WS}', ' ', 'g'), ' ')"
     low = "lower(coalesce(text, ''))"
+    noise = f"lower(x) IN {_in(T.NOISE_LINES)} OR starts_with(lower(x), {_q(T.NOISE_START)}) OR (starts_with(lower(x), {_q(T.NOISE_YEAR)}) AND regexp_matches(substring(x, {len(T.NOISE_YEAR) + 1}, 4), '^[0-9]{{4}}$'))"
     judged = ", ".join(f"({q}, {r}, {i}::VARCHAR[])" for q, r, i in X.JUDGED)
     keywords = "list_filter(relevant, lambda k: contains(body, lower(k)))"
     g = guard
@@ -130,7 +131,7 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT n, '^' || token || '$' AS p FROM w), g AS (SELECT n, unnest(list_transform(range(1, len(p) - 1), lambda i: substring(p, i, 3))) AS gram FROM p)
             SELECT gram, sum(n)::BIGINT AS n, count(*) AS places FROM g GROUP BY gram""",
         "clean_text": rf"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split_regex(raw_text, '\r\n|\n|\r') AS ls FROM documents WHERE raw_text IS NOT NULL)),
-            c AS (SELECT doc_id, i, {line} AS x FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS n FROM c WHERE length(x) >= 2 AND NOT regexp_matches(x, {_q(T.NOISE)})),
+            c AS (SELECT doc_id, i, {line} AS x FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS n FROM c WHERE length(x) >= 2 AND NOT ({noise})),
             t AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM k WHERE n = 1 GROUP BY doc_id)
             SELECT d.doc_id, length(coalesce(t, ''))::INT AS n_chars, md5(coalesce(t, '')) AS digest FROM documents d LEFT JOIN t USING (doc_id) WHERE raw_text IS NOT NULL""",
         "file_flags": f"""SELECT doc_id, {_suffix('source')} IN {_in(T.TEXT_SUFFIXES)} AS is_text, {_is_code('source')} AS is_code, {skipped('strlen(raw_text)')} AS skipped,

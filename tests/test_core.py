@@ -268,3 +268,18 @@ def test_pruning_and_pushdown(spark, small):
 
     plan = catalogue.imported_files(spark, small)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(resolved_file)]" in plan and "ReadSchema: struct<source_file:string,resolved_file:string>" in plan
+
+
+def test_forms():
+    import re
+
+    from strandwork.functions.forms import either, form
+
+    assert re.findall(form("async? def NAME ARGS"), "async  def f( a )\nxdef g()") == [("f", " a "), ("g", "")]
+    assert re.findall(form("func RECEIVER? NAME ARGS"), "func (r *T) Go(a int) {}\nfunc f()") == [("Go", "a int"), ("f", "")]
+    assert re.findall(form("fn NAME GENERICS? ARGS"), "fn f<T: X>(a: T)\nfn g ()") == [("f", "a: T"), ("g", "")]
+    assert re.findall(form("import LITTLE from PATH"), "import { a } from './m'") == ["./m"]
+    assert not re.search(form("from DOTTED import", start=True), " from a import b") and re.search(form("from DOTTED import", start=True), "x\nfrom a.b import c")
+    one = either("export? class NAME", "type WORD struct|interface")
+    assert [m.group() for m in re.finditer(one, "class A\n class B\nexport class C\ntype D interface")] == ["class A", "export class C", "type D interface"]
+    assert [bool(re.search(chunking.BOUNDARIES[s], x)) for s, x in ((".py", "@dec"), (".py", "x = class y"), (".rs", "impl<T> A for B"), (".java", "public static void main("), (".c", "return;"))] == [True, False, True, True, False]
