@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from strandwork.functions import text as T
@@ -27,12 +27,17 @@ class Weights:
     rrf_k: int = 60
 
 
+def reciprocal(*ranks: str, k: int = Weights.rrf_k) -> Column:
+    """Sum of 1 / (k + rank); a missing rank adds nothing."""
+    parts = [F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in ranks]
+    return sum(parts[1:], parts[0])
+
+
 def rrf(lexical: DataFrame, vector: DataFrame, key: str = "chunk_id", by: str = "query_id", k: int = 60) -> DataFrame:
     """(by, key, fts_rank, vector_rank, rrf): full outer join of two rankings (column rank); a missing rank adds nothing."""
     left = lexical.select(by, key, F.col("rank").alias("fts_rank"))
     right = vector.select(by, key, F.col("rank").alias("vector_rank"))
-    part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
-    return left.join(right, [by, key], "full_outer").withColumn("rrf", part("fts_rank") + part("vector_rank"))
+    return left.join(right, [by, key], "full_outer").withColumn("rrf", reciprocal("fts_rank", "vector_rank", k=k))
 
 
 def weighted(candidates: DataFrame, w: Weights = Weights()) -> DataFrame:

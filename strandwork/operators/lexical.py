@@ -25,12 +25,6 @@ def query_phrases(spark, queries: list[tuple[int, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, ordinal int, phrase string")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(token, key, tf, positions) of every chunk: the table to persist, partitioned and sorted by token."""
-    each = chunks.select(key, F.posexplode(T.index_tokens(F.col(text))).alias("pos", "token"))
-    return each.groupBy("token", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 def document_frequencies(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(token, df, cf): documents and occurrences of each index token."""
     each = chunks.select(key, F.explode(T.index_tokens(F.col(text))).alias("token"))
@@ -68,18 +62,22 @@ def bm25_scores(chunks: DataFrame, queries: list[tuple[int, str]], key: str = "c
 
     A duplicated term counts twice. A phrase in more than half of the chunks has the idf floor 1e-6."""
     spark = chunks.sparkSession
-    terms = query_phrases(spark, queries)
     n, mean = corpus_stats(chunks, text)
     phrases = sorted({p for _, q in queries for p in phrase_terms(q)})
     if not phrases or not n:
         return spark.createDataFrame([], f"query_id int, {key} {chunks.schema[key].dataType.simpleString()}, bm25 double")
-    hits = phrase_hits(chunks, phrases, key, text)
+    return score_hits(phrase_hits(chunks, phrases, key, text), queries, n, mean, [], key)
+
+
+def score_hits(hits: DataFrame, queries: list[tuple[int, str]], n: int, mean: float, carried: list[str], key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, bm25, carried) from (key, phrase, tf, len, carried) among ``n`` chunks of ``mean`` tokens. df and terms have a row a phrase."""
+    terms = query_phrases(hits.sparkSession, queries)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, FLOOR).otherwise(idf)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-    scored = hits.join(F.broadcast(df.select("phrase", weight.alias("idf"))), "phrase").select(key, "phrase", part.alias("s"))
-    return scored.join(F.broadcast(terms), "phrase").groupBy("query_id", key).agg((-F.sum("s")).alias("bm25"))
+    scored = hits.join(F.broadcast(df.select("phrase", weight.alias("idf"))), "phrase").select(key, "phrase", part.alias("s"), *carried)
+    return scored.join(F.broadcast(terms), "phrase").groupBy("query_id", key).agg((-F.sum("s")).alias("bm25"), *[F.first(c).alias(c) for c in carried])
 
 
 def top_k(scores: DataFrame, k: int, key: str = "chunk_id", score: str = "bm25", descending: bool = False, by: str = "query_id") -> DataFrame:

@@ -91,17 +91,17 @@ def chunk_code(s, d):
 
 
 def doc_freq(s, d):
-    n = F.lit(_chunks(s, d).count())
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return lexical.document_frequencies(_chunks(s, d)).select("token", "df", "cf", F.round(F.when(idf > 0, idf).otherwise(lexical.FLOOR), 6).alias("idf"))
+    index = Engine.from_tables(s, d).stored
+    idf = F.log((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return index.frequencies().select("token", "df", "cf", F.round(F.when(idf > 0, idf).otherwise(lexical.FLOOR), 6).alias("idf"))
 
 
 def bm25_topk(s, d):
-    return lexical.top_k(lexical.bm25_scores(_chunks(s, d), X.QUERIES), 12).select("query_id", "chunk_id", "rank", F.round("bm25", 6).alias("bm25"))
+    return lexical.top_k(Engine.from_tables(s, d).bm25(X.QUERIES), 12).select("query_id", "chunk_id", "rank", F.round("bm25", 6).alias("bm25"))
 
 
 def bm25_phrase(s, d):
-    return lexical.bm25_scores(_chunks(s, d), X.PHRASE_QUERIES).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
+    return Engine.from_tables(s, d).bm25(X.PHRASE_QUERIES).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def weighted_rerank(s, d):
@@ -125,7 +125,7 @@ def rrf_fusion(s, d):
 def hybrid_packet(s, d):
     e = Engine.from_tables(s, d)
     q = vectors.latest_query(table(s, d, "query_embeddings"))
-    return e.query(X.QUERIES[:1], e.vector(X.QUERIES[0][0], q)).drop("words")
+    return e.query(X.QUERIES[:1], e.vector(X.QUERIES[0][0], q), mode="always").drop("words")
 
 
 def hash_embedding(s, d):
@@ -339,7 +339,7 @@ def two_hop(s, d):
 def imported_context(s, d):
     """For files that the selected chunks import, their two best chunks for the query."""
     e = Engine.from_tables(s, d)
-    scored = lexical.bm25_scores(e.chunks, X.QUERIES).join(e.sources().select("chunk_id", "source"), "chunk_id")
+    scored = e.bm25(X.QUERIES).where("live").drop("live").join(e.sources().select("chunk_id", "source"), "chunk_id")
     chosen = lexical.top_k(scored, 12).select("query_id", "source").distinct()
     edges = imported_files(s, d).withColumnRenamed("source_file", "source")
     targets = chosen.join(edges, "source").select("query_id", F.col("resolved_file").alias("source")).distinct().join(chosen, ["query_id", "source"], "left_anti")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_SEEN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,30 +21,58 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CONF} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="strandwork-")
+    atexit.register(shutil.rmtree, own, True)
     spark.conf.set(_CONF, own)
     return own
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/strandwork/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts the lineage.
 
-    The table survives the loss of an executor. ``drop_materialized`` removes it early."""
+    The table survives the loss of an executor. ``drop_materialized`` removes it early, ``drop_tables`` all of an application's; those
+    left are removed when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandwork/{label}-{uuid.uuid4().hex}"
+    folder = _own_tables(spark)
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        atexit.register(_drop_at_exit, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandwork_path = path
     return out
 
 
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        system, target = file_system(spark, folder)
+        system.delete(target, True)
+    except Exception:  # the session has ended already
+        pass
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` made for this application: when no result that rests on them is needed any more."""
+    system, target = file_system(spark, _own_tables(spark))
+    system.delete(target, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table made by ``materialize``."""
     path = getattr(df, "_strandwork_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if path is not None:
+        system, target = file_system(df.sparkSession, path)
+        system.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
