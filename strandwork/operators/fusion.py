@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -27,6 +27,25 @@ class Weights:
     rrf_k: int = 60
 
 
+def weights(overrides: dict | None = None) -> Weights:
+    """The default weights with those given in their place; unknown names and what is no number are refused."""
+    known = {f.name: f.type for f in fields(Weights)}
+    for name, value in (overrides or {}).items():
+        if name not in known or isinstance(value, bool) or not isinstance(value, (int, float)):
+            raise ValueError(f"no weight: {name}={value!r}")
+    return replace(Weights(), **(overrides or {}))
+
+
+def fuse(lexical: DataFrame, vector: DataFrame, key: str = "chunk_id", by: str = "query_id") -> DataFrame:
+    """Full outer join of two rankings with all their columns: those of the lexical row win, the vector row fills what it lacks."""
+    shared = [c for c in lexical.columns if c in vector.columns and c not in (by, key)]
+    right = vector.select(by, key, *[F.col(c).alias(f"_{c}") if c in shared else F.col(c) for c in vector.columns if c not in (by, key)])
+    joined = lexical.withColumn("_there", F.lit(True)).join(right, [by, key], "full_outer")
+    for c in shared:
+        joined = joined.withColumn(c, F.when(F.col("_there"), F.col(c)).otherwise(F.col(f"_{c}")))
+    return joined.drop("_there", *[f"_{c}" for c in shared])
+
+
 def reciprocal(*ranks: str, k: int = Weights.rrf_k) -> Column:
     """Sum of 1 / (k + rank); a missing rank adds nothing."""
     parts = [F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in ranks]
@@ -48,17 +67,18 @@ def weighted(candidates: DataFrame, w: Weights = Weights()) -> DataFrame:
     return scored.withColumn("final_score", w.fts * F.col("fts_score") + w.vector * F.col("vector_signal") + w.overlap * F.col("overlap"))
 
 
+#: Scores and ranks that a merged run keeps: the largest score, the first chunk's ranks.
+SCORES, RANKS = ("fts_score", "vector_score", "overlap", "final_score"), ("bm25", "fts_rank", "vector_rank")
+
+
 def merge_runs(chunks: DataFrame, group: list[str], index: str = "chunk_index", score: str = "final_score") -> DataFrame:
-    """Runs of consecutive chunks of one group: first index and id, texts joined by newlines, summed tokens, largest score."""
+    """Runs of consecutive chunks of one group: first index and id, texts joined by newlines, summed tokens, the largest of each score there is, and the
+    first chunk's ranks."""
     order = Window.partitionBy(*group).orderBy(index, "chunk_id")
     once = chunks.withColumn("_n", F.row_number().over(Window.partitionBy(*group, index).orderBy("chunk_id"))).where("_n = 1")
     runs = once.withColumn("_run", F.col(index) - F.row_number().over(order))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.coalesce("text", F.lit("")).alias("t")))), lambda s: s["t"]), "\n")
-    return runs.groupBy(*group, "_run").agg(
-        F.min(index).alias("first_index"),
-        F.count("*").alias("merged"),
-        F.min_by("chunk_id", index).alias("chunk_id"),
-        F.sum("token_estimate").alias("token_estimate"),
-        F.max(score).alias(score),
-        text.alias("text"),
-    ).drop("_run")
+    top = [F.max(c).alias(c) for c in dict.fromkeys((*SCORES, score)) if c in chunks.columns]
+    first = [F.min_by(c, index).alias(c) for c in ("chunk_id", *RANKS) if c in chunks.columns]
+    tokens = F.sum("token_estimate").alias("token_estimate")
+    return runs.groupBy(*group, "_run").agg(F.min(index).alias("first_index"), F.count("*").alias("merged"), tokens, text.alias("text"), *top, *first).drop("_run")

@@ -82,6 +82,17 @@ def fingerprint(documents: DataFrame, chunks: DataFrame) -> str:
     return hashlib.blake2b(f"{d.n}|{chunks.count()}|{d.t}".encode(), digest_size=16).hexdigest()
 
 
+def slug(value: Column) -> Column:
+    """A name fit for a file: other characters than letters, digits and ._- become one _, at most 120; 'default' for an empty one."""
+    clean = F.substring(F.regexp_replace(F.trim(value), r"[^a-zA-Z0-9._-]+", "_"), 1, 120)
+    return F.when(clean == "", "default").otherwise(clean)
+
+
+def embedding_key(text: str, backend: str, model: str | None, dimensions: int) -> str:
+    """The key of a cached vector."""
+    return f"{backend}|{model or ''}|{dimensions}|{hashlib.blake2b(text.encode(), digest_size=16).hexdigest()}"
+
+
 def cache_key(knobs: dict, stamp: str) -> str:
     return hashlib.blake2b(json.dumps(knobs | {"fingerprint": stamp}, sort_keys=True).encode(), digest_size=16).hexdigest()
 

@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from strandwork.operators.syntax import replace_definition
+
 #: The markers of a block.
 _BLOCK = re.compile(r"^<{5,} ?SEARCH[ \t]*(?:\((?P<file>[^)\n]+)\))?[ \t]*\n(?P<search>.*?)^={5,}[ \t]*\n(?P<replace>.*?)^>{5,} ?REPLACE[ \t]*$", re.M | re.S)
 _NAMED = re.compile(r"^@@(?P<kind>FUNCTION|CLASS|METHOD)[ \t]+(?P<name>[\w.]+)[ \t]*\n(?P<code>.*?)^@@END[ \t]*$", re.M | re.S)
@@ -23,11 +25,17 @@ def parse_blocks(text: str) -> list[dict]:
     return sorted(out, key=lambda b: b["line"])
 
 
-def apply_block(content: str, block: dict) -> tuple[str | None, str]:
-    """(new content, 'ok') or (None, why not). A search text must occur exactly once; a named definition too."""
+def apply_block(content: str, block: dict, file: str = "") -> tuple[str | None, str]:
+    """(new content, 'ok') or (None, why not). A search text must occur exactly once; a named definition too.
+
+    In Python that parses, definitions are found in the syntax tree; elsewhere by the form of their first line and indentation."""
     if block["kind"] == "search":
         n = content.count(block["search"]) if block["search"] else 0
         return (content.replace(block["search"], block["replace"], 1), "ok") if n == 1 else (None, f"search text occurs {n} times")
+    if file.lower().endswith(".py"):
+        new, why = replace_definition(content, block["kind"], block["name"], block["replace"])
+        if why != "no syntax tree":
+            return new, why
     name = block["name"].rpartition(".")[2]
     heads = list(re.finditer(_HEAD.format(name=re.escape(name)), content))
     if len(heads) != 1:
@@ -47,24 +55,34 @@ def apply_block(content: str, block: dict) -> tuple[str | None, str]:
     return "\n".join(lines[:first] + new + lines[last + 1 :]), "ok"
 
 
-def apply_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
-    """(file, content, applied, message): every block of a file's patch in order, or none of them.
+def apply_text(content: str, patch: str | None, file: str = "") -> tuple[str, int, int, str]:
+    """(content, applied, failed, message): every block of a patch in order, or none of them."""
+    blocks = [b for b in parse_blocks(patch or "") if b["file"] in (None, file)]
+    new = content
+    for i, b in enumerate(blocks):
+        new, why = apply_block(new, b, file)
+        if new is None:
+            left = len(blocks) - i - 1
+            return content, 0, len(blocks), why + (f"; {left} blocks skipped" if left else "")
+    return new, len(blocks), 0, "ok" if blocks else "no blocks"
+
+
+def apply_patches(files: DataFrame, patches: DataFrame, dry_run: bool = False) -> DataFrame:
+    """(file, content, applied, failed, message): every block of a file's patch in order, or none of them; a dry run counts, and keeps the content.
 
-    files (file, content), patches (file, patch); files without a patch keep their content; a null patch has no blocks."""
+    files (file, content), patches (file, patch); files without a patch keep their content; a null patch has no blocks; a patch without
+    its file gives a row without content in which all its blocks have failed."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for file, content, patch in zip(pdf["file"], pdf["content"], pdf["patch"]):
-                new, why, blocks = content, "ok", parse_blocks(patch or "")
-                for b in blocks:
-                    if b["file"] not in (None, file):
-                        continue
-                    new, why = apply_block(new, b)
-                    if new is None:
-                        break
-                rows.append((file, content if new is None else new, bool(blocks) and new is not None, why))
-            yield pd.DataFrame(rows, columns=["file", "content", "applied", "message"])
+                if content is None:
+                    rows.append((file, None, 0, len(parse_blocks(patch or "")), "file not found"))
+                    continue
+                new, applied, failed, why = apply_text(content, patch, file or "")
+                rows.append((file, content if dry_run else new, applied, failed, why))
+            yield pd.DataFrame(rows, columns=["file", "content", "applied", "failed", "message"])
 
     one = patches.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("patch")), "\n").alias("patch"))
-    return files.join(one, "file", "left").mapInPandas(run, "file string, content string, applied boolean, message string")
+    return files.join(one, "file", "full_outer").mapInPandas(run, "file string, content string, applied int, failed int, message string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from strandwork.functions import text as T
-from strandwork.operators import chunking, compress, evaluation, fusion, graph, guard, lexical, lifecycle, patch, vectors
+from strandwork.operators import ann, chunking, compress, evaluation, fusion, graph, guard, lexical, lifecycle, patch, syntax, vectors
 from strandwork.plans import fixtures as X
 from strandwork.plans.engine import Engine
 from strandwork.session import table
@@ -115,17 +115,43 @@ def vector_topk(s, d):
     return vectors.scan_top_k(table(s, d, "chunk_embeddings"), q, 20).select("chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _vector_run(s, d, e, queries):
+    """The latest query embedding's ranking, for every query."""
+    one = e.vector(0, vectors.latest_query(table(s, d, "query_embeddings"))).drop("query_id")
+    return one.withColumn("query_id", F.explode(F.array(*[F.lit(i) for i, _ in queries])))
+
+
 def rrf_fusion(s, d):
     e = Engine.from_tables(s, d)
-    q = vectors.latest_query(table(s, d, "query_embeddings"))
-    fused = fusion.rrf(e.lexical(X.QUERIES[:1]), e.vector(X.QUERIES[0][0], q))
+    fused = fusion.rrf(e.lexical(X.QUERIES), _vector_run(s, d, e, X.QUERIES))
     return fused.select("query_id", "chunk_id", F.coalesce("fts_rank", F.lit(0)).alias("fts_rank"), F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), F.round("rrf", 8).alias("rrf"))
 
 
+def hybrid_rerank(s, d):
+    """Both rankings of all queries, fused by weights: the lexical row wins, ranks and scores of the other are added."""
+    e = Engine.from_tables(s, d)
+    rows = e.rerank(X.QUERIES, _vector_run(s, d, e, X.QUERIES))
+    return rows.select("query_id", "chunk_id", F.coalesce("fts_rank", F.lit(0)).alias("fts_rank"), F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), F.round("final_score", 6).alias("final_score"))
+
+
+def adaptive_paths(s, d):
+    """What becomes of the vector search of each stress query, by mode."""
+    e = Engine.from_tables(s, d)
+    run = _vector_run(s, d, e, X.STRESS_QUERIES)
+    out = None
+    for mode in ("fallback", "always"):
+        rows = e.candidates(X.STRESS_QUERIES, run, mode).groupBy("query_id", "fts_hits", "vector_hits", "path").agg(F.count("chunk_id").alias("pool")).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def hybrid_packet(s, d):
     e = Engine.from_tables(s, d)
-    q = vectors.latest_query(table(s, d, "query_embeddings"))
-    return e.query(X.QUERIES[:1], e.vector(X.QUERIES[0][0], q), mode="always").drop("words")
+    return e.query(X.QUERIES, _vector_run(s, d, e, X.QUERIES), mode="always").drop("words", "packet").withColumn("bullets", F.array_join("bullets", "\n"))
+
+
+def packet_text(s, d):
+    return flagship(s, d).select("query_id", F.md5("packet").alias("digest"), F.element_at(F.split("packet", "\n"), 1).alias("first"), F.regexp_count("packet", F.lit("(?m)^- ")).alias("said"))
 
 
 def hash_embedding(s, d):
@@ -134,14 +160,27 @@ def hash_embedding(s, d):
 
 
 def ivf_topk(s, d):
+    """The 20 nearest chunk vectors of the latest query embedding's space by cosine, from the stored inverted lists."""
     q = vectors.latest_query(table(s, d, "query_embeddings"))
-    rows = vectors.with_vectors(table(s, d, "chunk_embeddings").where(F.col("model_name").eqNullSafe(F.lit(q["model_name"])) & (F.col("dimensions") == q["dimensions"])))
-    return vectors.ivf_top_k(rows.select("chunk_id", "vector").dropDuplicates(["chunk_id"]), q["vector"])
+    same = (vectors.backend(F.col("backend")) == q["backend"].strip().lower()) & F.col("model_name").eqNullSafe(F.lit(q["model_name"])) & (F.col("dimensions") == q["dimensions"])
+    rows = vectors.with_vectors(table(s, d, "chunk_embeddings").where(same)).select("chunk_id", "vector").dropDuplicates(["chunk_id"])
+    e = Engine.from_tables(s, d)
+    path = ann.open_or_build(rows, f"{e.stored.path}/ann/{ann.stem(s, q['backend'].strip().lower(), q['dimensions'], q['model_name'])}")
+    return ann.search(s, path, q["vector"]).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def kmeans_clusters(s, d):
-    rows = vectors.with_vectors(table(s, d, "chunk_embeddings").where("dimensions = 96"))
-    return vectors.kmeans_clusters(rows.select("chunk_id", "vector").dropDuplicates(["chunk_id"]), 20)
+    """Clusters of each space of comparable vectors (backend, dimensions, model)."""
+    rows = vectors.with_vectors(table(s, d, "chunk_embeddings")).select("chunk_id", vectors.backend(F.col("backend")).alias("backend"), "dimensions", "model_name", "vector").dropDuplicates(["chunk_id"])
+    spaces = rows.select("backend", "dimensions", "model_name").distinct().limit(65).collect()
+    if len(spaces) > 64:
+        raise ValueError("more than 64 spaces of vectors")
+    out = None
+    for b, n, m in spaces:
+        some = rows.where((F.col("backend") == b) & (F.col("dimensions") == n) & F.col("model_name").eqNullSafe(F.lit(m)))
+        one = vectors.kmeans_clusters(some.select("chunk_id", "vector"), 20).withColumn("space", F.lit(f"{b}/{n}/{m}"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def sentence_jaccard(s, d):
@@ -156,7 +195,10 @@ def _prose(s, d):
 
 
 def sentence_pick(s, d):
-    return compress.pick_sentences(compress.sentence_scores(_prose(s, d), X.QUERIES[0][1]))
+    """The summary of every prose chunk for every query."""
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("query")) for i, q in X.QUERIES]))
+    rows = _prose(s, d).withColumn("q", asked).select("text", "q.query", F.concat_ws(":", "q.query_id", "chunk_id").alias("key"))
+    return compress.pick_sentences(compress.sentence_scores(rows, key="key"), 2, "key").select("key", F.md5("summary").alias("digest"))
 
 
 def code_signatures(s, d):
@@ -168,7 +210,7 @@ def code_signatures(s, d):
 def merge_runs(s, d):
     e = Engine.from_tables(s, d)
     rows = e.sources().where("text IS NOT NULL").withColumn("final_score", F.col("chunk_index").cast("double"))
-    m = fusion.merge_runs(rows.where("chunk_index % 4 <> 3"), ["doc_id", "source"])
+    m = fusion.merge_runs(rows, ["doc_id", "source"])
     return m.select("doc_id", "first_index", "merged", "chunk_id", F.coalesce("token_estimate", F.lit(0)).alias("token_estimate"), "final_score", F.md5("text").alias("digest"))
 
 
@@ -223,6 +265,15 @@ def index_stats(s, d):
     return lifecycle.index_stats({n: table(s, d, n).distinct() for n in names})
 
 
+def query_costs(s, d):
+    docs = _docs(s, d).groupBy("lang").agg(F.sum(T.token_estimate(F.col("raw_text")).cast("long")).alias("raw"), F.sum(T.token_estimate(F.col("cleaned_text")).cast("long")).alias("clean"))
+    return docs.select("lang", *evaluation.costs(F.col("raw"), F.col("clean")))
+
+
+def model_slugs(s, d):
+    return table(s, d, "chunk_embeddings").select("backend", "model_name", "dimensions").distinct().select("dimensions", lifecycle.slug(F.coalesce("backend", F.lit(""))).alias("backend"), lifecycle.slug(F.coalesce("model_name", F.lit("none"))).alias("model")).distinct()
+
+
 def time_range(s, d):
     return _docs(s, d).agg(F.unix_micros(F.min("created_at")).alias("first"), F.unix_micros(F.max("updated_at")).alias("last"), F.count("*").alias("n"))
 
@@ -276,7 +327,7 @@ def prompt_fields(s, d):
 
 
 def _judged(s, d):
-    rows = Engine.from_tables(s, d).lexical(X.QUERIES).join(_chunks(s, d).dropDuplicates(["chunk_id"]).select("chunk_id", "text"), "chunk_id")
+    rows = Engine.from_tables(s, d).lexical(X.JUDGED_QUERIES).join(_chunks(s, d).dropDuplicates(["chunk_id"]).select("chunk_id", "text"), "chunk_id")
     return rows.join(F.broadcast(s.createDataFrame(X.JUDGED, "query_id int, relevant array<string>, irrelevant array<string>")), "query_id")
 
 
@@ -349,14 +400,39 @@ def imported_context(s, d):
 
 
 def patch_files(s, d):
-    files, patches = X.patch_tables(s)
-    return patch.apply_patches(files, patches)
+    """Every text with a block that replaces its first line, in one transaction a file: it fails where that line is not unique."""
+    rows = _docs(s, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    first = F.substring_index("content", "\n", 1)
+    block = F.concat(F.lit("<<<<<<< SEARCH\n"), first, F.lit("\n=======\n"), F.lit("patched"), F.lit("\n>>>>>>> REPLACE\n"))
+    plain = rows.where(~F.contains(first, F.lit("\r")) & ~first.rlike("^(<{5,}|={5,}|>{5,}|@@)"))
+    out = patch.apply_patches(plain, plain.select("file", block.alias("patch")))
+    return out.select("file", "applied", "failed", F.md5("content").alias("digest"))
+
+
+def tree_segments(s, d):
+    """Python sources by their outermost definitions."""
+    rows = _docs(s, d).where("text IS NOT NULL").select("doc_id", syntax.segment_column(F.col("text"), T.suffix(F.col("source")) == ".py").alias("x")).where("size(x) > 0")
+    return rows.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", "|")).alias("digest"))
+
+
+def chunk_trees(s, d):
+    docs = _docs(s, d).where(T.suffix(F.col("source")) == ".py")
+    return chunking.chunk_documents(docs, 100, 20, text="text", trees=True).select("doc_id", "chunk_index", "token_estimate", F.md5("text").alias("digest"))
+
+
+def upserted_index(s, d):
+    """Tables after every path's latest row replaced the stale ones: (name, rows), the chunks cut anew."""
+    docs = _docs(s, d).where("source IS NOT NULL")
+    new = lifecycle.latest(docs, ["source"], [F.desc(F.coalesce("updated_at", "created_at")), F.desc("doc_id")]).select("doc_id", "source", "raw_text")
+    e = Engine(s, docs.select("doc_id", "source", "raw_text", "cleaned_text"), _chunks(s, d)).upsert(new)
+    dead = e.raw_chunks.join(e.documents.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "orphan")
+    return lifecycle.index_stats({"documents": e.documents, "indexed": e.raw_chunks.join(new.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct(), "orphans": dead})
 
 
 def queries() -> dict:
     names = (
         "token_stats token_estimate char_trigrams clean_text file_flags files_to_index query_validity query_terms sentence_split trimmed_snippets chunk_prose chunk_code doc_freq bm25_topk bm25_phrase "
-        "weighted_rerank vector_topk rrf_fusion hybrid_packet hash_embedding ivf_topk kmeans_clusters sentence_jaccard sentence_pick code_signatures merge_runs budget_pack context_packet token_savings upsert_documents "
+        "weighted_rerank hybrid_rerank adaptive_paths packet_text query_costs model_slugs tree_segments chunk_trees upserted_index vector_topk rrf_fusion hybrid_packet hash_embedding ivf_topk kmeans_clusters sentence_jaccard sentence_pick code_signatures merge_runs budget_pack context_packet token_savings upsert_documents "
         "sync_diff sync_counts gc_counts gc_result remove_deleted index_stats time_range backend_counts query_cache query_embedding_cache session_recent session_sources turn_reminders prompt_guard prompt_fields "
         "retrieval_quality latency_percentiles code_imports import_resolution known_dependencies imported_files import_fan_in code_calls code_symbols symbol_lookup two_hop imported_context patch_files"
     )

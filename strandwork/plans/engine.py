@@ -120,7 +120,7 @@ class Engine:
         ids = [r[0] for r in ranked.where("chunk_id IS NOT NULL").select("chunk_id").distinct().collect()]
         texts = self.stored.texts(ids).where("live").drop("live", "n_tokens")
         asked = self.spark.createDataFrame(queries, "query_id int, query string")
-        rows = materialize(ranked.join(F.broadcast(asked), "query_id").join(texts, "chunk_id", "left"), "pool").coalesce(1)
+        rows = materialize(ranked.join(F.broadcast(asked), "query_id").join(texts.withColumn("_live", F.lit(True)), "chunk_id", "left").where("chunk_id IS NULL OR _live").drop("_live"), "pool").coalesce(1)
         overlap = T.overlap_ratio(T.tokens(F.col("query")), T.tokens(F.coalesce("text", F.lit(""))))
         return rows.withColumn("overlap", overlap)
 

@@ -1,12 +1,11 @@
 """SQL equivalents of the registered queries, for another engine to run on the same tables.
 
-Queries without one (hash features, approximate search, k-means, iterated sentence ranks and what rests on them, packed code
-segments, patches) are tested against brute force."""
+Queries without one (hash features, k-means, packed code segments, syntax trees, a corpus cut anew) are tested against brute force."""
 
 from __future__ import annotations
 
 from strandwork.functions import text as T
-from strandwork.operators import graph, guard, lexical
+from strandwork.operators import compress, evaluation, graph, guard, lexical
 from strandwork.plans import fixtures as X
 
 _WS = r"[ \t\n\x0B\f\r]+"
@@ -113,6 +112,73 @@ def _symbols() -> str:
       sym AS (SELECT DISTINCT file_path, s.n AS symbol_name, symbol_type, s.s AS signature, chunk_id FROM ({" UNION ALL ".join(parts)}))""".replace("SELECT chunk_id, source, text FROM", "SELECT c.chunk_id, source, c.text FROM")
 
 
+def _queries(queries) -> str:
+    return "q(query_id, query) AS (VALUES " + ", ".join(f"({i}, {_q(t)})" for i, t in queries) + ")"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _signatures(x: str) -> str:
+    heads = f"list_filter(list_transform(regexp_extract_all({x}, {_q(compress.SIGNATURES)}, 0), lambda h: {_strip('h')}), lambda h: len({_words('h')}) >= 2)"
+    short = "CASE WHEN len(string_split(h, chr(10))) > 3 THEN array_to_string(list_slice(string_split(h, chr(10)), 1, 3), chr(10)) || ' ...' ELSE h END"
+    docs = f"list_filter(list_transform(list_transform(regexp_extract_all({x}, {_q(compress.DOCS)}, 0), lambda h: {_strip('h')}), lambda h: {short}), lambda h: len({_words('h')}) >= 3)"
+    return f"list_concat({heads}, {docs})"
+
+
+def _ranked_sentences(rows: str) -> str:
+    """CTEs up to picked (key, summary) from a relation of (key, text, query)."""
+    overlap = "len(list_intersect(t[i + 1], t[j + 1]))::DOUBLE / (len(t[i + 1]) + len(t[j + 1]) - len(list_intersect(t[i + 1], t[j + 1])))"
+    return f"""sn AS (SELECT key, query, {_SENT} AS ss FROM {rows} WHERE text IS NOT NULL),
+      st AS (SELECT key, query, ss, len(ss) AS n, list_transform(ss, lambda s: list_distinct({_tokens('s')})) AS t FROM sn WHERE len(ss) > 0),
+      mx AS (SELECT key, n, list_transform(range(n), lambda i: list_transform(range(n), lambda j: CASE WHEN i = j OR len(t[i + 1]) + len(t[j + 1]) = 0 THEN 0 ELSE {overlap} END)) AS m FROM st WHERE n > 2),
+      tot AS (SELECT key, n, list_transform(m, lambda r: list_sum(r)) AS o, m FROM mx),
+      it AS (SELECT key, 0 AS k, list_transform(range(n), lambda i: 1.0::DOUBLE / n) AS v FROM tot
+        UNION ALL SELECT it.key, k + 1, list_transform(range(n), lambda j: 0.15::DOUBLE / n + 0.85::DOUBLE * list_sum(list_transform(range(n), lambda i: CASE WHEN o[i + 1] > 0 THEN m[i + 1][j + 1] / o[i + 1] * v[i + 1] ELSE 0 END))) FROM it JOIN tot USING (key) WHERE k < 30),
+      ce AS (SELECT st.key, query, ss, t, CASE WHEN n <= 2 THEN list_transform(range(n), lambda i: 1.0::DOUBLE) WHEN list_max(v) > 0 THEN list_transform(v, lambda x: x / list_max(v)) ELSE v END AS r FROM st LEFT JOIN it ON it.key = st.key AND k = 30),
+      sc AS (SELECT key, pos, ss[pos + 1] AS sentence, 0.5::DOUBLE * r[pos + 1] + CASE WHEN len(qt) > 0 THEN 0.35::DOUBLE * len(list_intersect(qt, t[pos + 1])) / len(qt) ELSE 0 END + 0.1::DOUBLE * least(1.0::DOUBLE, len({_words('ss[pos + 1]')})::DOUBLE / 24) AS score
+        FROM (SELECT *, list_distinct({_tokens('query')}) AS qt, unnest(range(len(ss))) AS pos FROM ce)),
+      rs AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(score, 9) DESC, pos) AS place FROM sc QUALIFY place <= 2),
+      picked AS (SELECT key, string_agg(sentence, ' ' ORDER BY place) AS summary FROM rs GROUP BY key)"""
+
+
+def _packet(vector: bool) -> str:
+    """CTEs up to packet (one row a query)."""
+    near = "vr AS (SELECT query_id, chunk_id, rank AS vector_rank, score AS vector_score FROM vt, q)" if vector else "vr AS (SELECT 0 AS query_id, 0 AS chunk_id, 0 AS vector_rank, 0.0 AS vector_score WHERE false)"
+    final = "coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0)" if vector else f"0.5::DOUBLE * (0.35::DOUBLE / fts_rank + 0.65::DOUBLE / (1 + abs(bm25))) + 0.15::DOUBLE * {_overlap('query', 'text')}"
+    n, cut = f"len({_words('bullet')})", _trim_words("bullet", 150)
+    return f"""WITH RECURSIVE {_bm25(X.QUERIES)}, {_TOP}, {_LATEST}, {_queries(X.QUERIES)}, {near},
+      src AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(chunk_index) AS chunk_index, any_value(c.text) AS text, any_value(token_estimate) AS token_estimate, any_value(source) AS source FROM ck c JOIN documents USING (doc_id) GROUP BY chunk_id),
+      cand AS (SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.chunk_id, v.chunk_id) AS chunk_id, bm25, t.rank AS fts_rank, vector_rank FROM top t FULL OUTER JOIN vr v ON t.query_id = v.query_id AND t.chunk_id = v.chunk_id),
+      pool AS (SELECT *, {final} AS final_score FROM cand JOIN src USING (chunk_id) JOIN q USING (query_id)),
+      chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS place FROM pool QUALIFY place <= 3),
+      once AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, source, chunk_index ORDER BY chunk_id) = 1),
+      isl AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY query_id, doc_id, source ORDER BY chunk_index, chunk_id) AS run FROM once),
+      runs AS (SELECT query_id, any_value(query) AS query, source, min(chunk_index) AS first_index, arg_min(chunk_id, chunk_index) AS chunk_id, max(final_score) AS final_score, string_agg(coalesce(text, ''), chr(10) ORDER BY chunk_index) AS text FROM isl GROUP BY query_id, doc_id, source, run),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS place, {_cite('source', 'first_index')} AS cite, coalesce({_is_code('source')}, false) AS code FROM runs),
+      ov AS (SELECT *, query_id || ':' || place AS key FROM rk WHERE final_score >= 0.15), pt AS (SELECT key, text, query FROM ov WHERE NOT code), {_ranked_sentences('pt')},
+      cs AS (SELECT query_id, place, cite, {_signatures('text')} AS sg, list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ') <> '') AS pl FROM ov WHERE code),
+      said AS (SELECT query_id, place, cite, trim(array_to_string(list_slice(CASE WHEN len(sg) > 0 THEN sg ELSE pl END, 1, 4), ' | '), ' ') AS summary FROM cs UNION ALL SELECT query_id, place, cite, summary FROM ov JOIN picked USING (key)),
+      bl AS (SELECT query_id, summary || ' ' || cite AS bullet, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM said WHERE summary <> ''),
+      fo AS (SELECT DISTINCT query_id, 0::BIGINT AS r, []::VARCHAR[] AS kept, 0::BIGINT AS used FROM bl
+        UNION ALL SELECT fo.query_id, bl.r, CASE WHEN used >= 150 THEN kept WHEN len(kept) = 0 AND {n} > 150 THEN list_append(kept, {cut}) WHEN len(kept) = 0 OR used + {n} <= 150 THEN list_append(kept, bullet) ELSE kept END,
+        CASE WHEN used >= 150 THEN used WHEN len(kept) = 0 AND {n} > 150 THEN 150 WHEN len(kept) = 0 OR used + {n} <= 150 THEN used + {n} ELSE used END FROM fo JOIN bl ON bl.query_id = fo.query_id AND bl.r = fo.r + 1),
+      pk AS (SELECT query_id, kept FROM fo QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1),
+      sp AS (SELECT query_id, list(array_to_string(list_slice({_words('text')}, 1, 35), ' ') || '... ' || cite ORDER BY place) AS spare FROM rk WHERE place <= 3 GROUP BY query_id),
+      agg AS (SELECT q.query_id, count(p.chunk_id) AS pool, coalesce(sum(token_estimate), 0) AS pool_tokens FROM q LEFT JOIN pool p USING (query_id) GROUP BY q.query_id),
+      sel AS (SELECT query_id, count(*) AS selected_chunks, count(DISTINCT source) AS sources, sum(token_estimate) AS selected_tokens FROM chosen GROUP BY query_id),
+      hit AS (SELECT q.query_id, any_value(query) AS query, count(t.chunk_id) AS fts_hits FROM q LEFT JOIN top t USING (query_id) GROUP BY q.query_id),
+      one AS (SELECT query_id, query, fts_hits, (SELECT count(*) FROM vr WHERE vr.query_id = hit.query_id) AS vector_hits, coalesce(kept, spare, []) AS bullets, coalesce(selected_chunks, 0) AS selected_chunks, coalesce(sources, 0) AS sources, coalesce(selected_tokens, 0) AS selected_tokens, pool, pool_tokens
+        FROM hit JOIN agg USING (query_id) LEFT JOIN sel USING (query_id) LEFT JOIN pk USING (query_id) LEFT JOIN sp USING (query_id)),
+      used AS (SELECT *, coalesce(list_sum(list_transform(bullets, lambda b: {_estimate('b')})), 0)::INT AS compressed_tokens FROM one),
+      packet AS (SELECT *, greatest(0, selected_tokens - compressed_tokens)::BIGINT AS saved_tokens, CASE WHEN pool_tokens > 0 THEN round(100.0::DOUBLE * greatest(0, pool_tokens - compressed_tokens) / pool_tokens, 2) ELSE 0 END AS pool_saved_pct FROM used)"""
+
+
+def _overlap(query: str, text: str) -> str:
+    return f"len(list_intersect(list_distinct({_tokens(query)}), {_tokens(f'coalesce({text}, chr(32))')}))::DOUBLE / len(list_distinct({_tokens(query)}))"
+
+
 def oracle_sql() -> dict[str, str]:
     calls = f"list_sort(list_distinct(list_filter(regexp_extract_all(text, {_q(graph.CALLED)}, 1), lambda n: n NOT IN {_in(graph.NOT_CALLS)} AND n[1] NOT IN {_in('_0123456789')})))"
     line = rf"trim(regexp_replace(line, '{_WS}', ' ', 'g'), ' ')"
@@ -159,12 +225,42 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT *, 0.35::DOUBLE / rank + 0.65::DOUBLE / (1 + abs(bm25)) AS fts FROM o)
             SELECT query_id, chunk_id, rank AS fts_rank, round(overlap, 6) AS overlap, round(fts, 6) AS fts_score, round(0.5::DOUBLE * fts + 0.15::DOUBLE * overlap, 6) AS final_score FROM f""",
         "vector_topk": f"WITH {_LATEST} SELECT chunk_id, rank, round(score, 6) AS score FROM vt",
-        "rrf_fusion": f"""WITH {_bm25(X.QUERIES[:1])}, {_TOP}, {_LATEST} SELECT 0 AS query_id, coalesce(t.chunk_id, v.chunk_id) AS chunk_id, coalesce(t.rank, 0) AS fts_rank, coalesce(v.rank, 0) AS vector_rank,
-            round(coalesce(1.0::DOUBLE / (60 + t.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0), 8) AS rrf FROM top t FULL OUTER JOIN vt v ON t.chunk_id = v.chunk_id""",
+        "rrf_fusion": f"""WITH {_bm25(X.QUERIES)}, {_TOP}, {_LATEST}, {_queries(X.QUERIES)}, vr AS (SELECT query_id, chunk_id, rank FROM vt, q)
+            SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.chunk_id, v.chunk_id) AS chunk_id, coalesce(t.rank, 0) AS fts_rank, coalesce(v.rank, 0) AS vector_rank,
+            round(coalesce(1.0::DOUBLE / (60 + t.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0), 8) AS rrf FROM top t FULL OUTER JOIN vr v ON t.query_id = v.query_id AND t.chunk_id = v.chunk_id""",
+        "hybrid_rerank": f"""WITH {_bm25(X.QUERIES)}, {_TOP}, {_LATEST}, {_queries(X.QUERIES)}, vr AS (SELECT query_id, chunk_id, rank, score FROM vt, q), src AS (SELECT DISTINCT chunk_id, c.text FROM ck c JOIN documents USING (doc_id)),
+            b AS (SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.chunk_id, v.chunk_id) AS chunk_id, t.rank AS fts_rank, v.rank AS vector_rank, score, bm25 FROM top t FULL OUTER JOIN vr v ON t.query_id = v.query_id AND t.chunk_id = v.chunk_id)
+            SELECT query_id, chunk_id, coalesce(fts_rank, 0) AS fts_rank, coalesce(vector_rank, 0) AS vector_rank,
+            round(0.5::DOUBLE * coalesce(0.35::DOUBLE / fts_rank + 0.65::DOUBLE / (1 + abs(bm25)), 0) + 0.35::DOUBLE * coalesce(score, 0) + 0.15::DOUBLE * {_overlap('query', 'text')}, 6) AS final_score FROM b JOIN src USING (chunk_id) JOIN q USING (query_id)""",
+        "adaptive_paths": f"""WITH {_bm25(X.STRESS_QUERIES)}, {_TOP}, {_LATEST}, {_queries(X.STRESS_QUERIES)}, h AS (SELECT q.query_id, count(t.chunk_id) AS fts_hits FROM q LEFT JOIN top t USING (query_id) GROUP BY q.query_id),
+            m AS (SELECT *, unnest(['fallback', 'always']) AS mode, (SELECT count(*) FROM (SELECT DISTINCT chunk_id FROM chunks)) AS n FROM h),
+            p AS (SELECT query_id, fts_hits, mode, CASE WHEN mode = 'always' THEN 'scan' WHEN n < 200 THEN 'disabled_small_codebase' WHEN fts_hits < 3 THEN 'scan' ELSE 'disabled' END AS path FROM m)
+            SELECT query_id, fts_hits, CASE WHEN path = 'scan' THEN (SELECT count(*) FROM vt) ELSE 0 END AS vector_hits, path, mode,
+            fts_hits + CASE WHEN path = 'scan' THEN (SELECT count(*) FROM vt WHERE chunk_id NOT IN (SELECT chunk_id FROM top WHERE top.query_id = p.query_id)) ELSE 0 END AS pool FROM p""",
+        "context_packet": f"{_packet(False)} SELECT query_id, array_to_string(bullets, chr(10)) AS bullets, compressed_tokens, selected_tokens, pool_tokens, saved_tokens, pool_saved_pct FROM packet",
+        "hybrid_packet": f"{_packet(True)} SELECT query_id, query, fts_hits, vector_hits, 'scan' AS path, pool, pool_tokens, selected_chunks, sources, selected_tokens, array_to_string(bullets, chr(10)) AS bullets, compressed_tokens, saved_tokens, pool_saved_pct FROM packet",
+        "packet_text": f"""{_packet(False)}, tx AS (SELECT query_id, bullets, array_to_string(list_concat(['CONTEXT_PACKET_START', 'query: ' || query, 'selected_chunks: ' || selected_chunks, 'sources: ' || sources, 'retrieval_mode: compact', 'hybrid_mode: fallback', 'fts_ranking: bm25',
+            'vector_backend_used: disabled', 'vector_retrieval_path: disabled', 'fts_hits: ' || fts_hits, 'vector_hits: ' || vector_hits, 'estimated_token_savings: ' || saved_tokens, 'candidate_pool_token_reduction_pct: ' || pool_saved_pct::DOUBLE, '', 'compressed_context:'],
+            list_concat(list_transform(bullets, lambda b: '- ' || b), ['', 'CONTEXT_PACKET_END'])), chr(10)) AS packet FROM packet)
+            SELECT query_id, md5(packet) AS digest, 'CONTEXT_PACKET_START' AS first, len(regexp_extract_all(packet, '(?m)^- ', 0))::INT AS said FROM tx""",
+        "ivf_topk": f"""WITH {_LATEST}, n AS (SELECT c.chunk_id, any_value(c.v) AS v FROM (SELECT c.chunk_id, c.dimensions, {_VEC.replace('embedding_json', 'c.embedding_json')} AS v FROM chunk_embeddings c, lq
+            WHERE {_BACKEND.replace('backend', 'c.backend')} = {_BACKEND.replace('backend', 'lq.backend')} AND c.dimensions = lq.dimensions AND c.model_name IS NOT DISTINCT FROM lq.model_name AND c.embedding_json IS NOT NULL) c WHERE {_USABLE} GROUP BY c.chunk_id),
+            s AS (SELECT chunk_id, list_sum(list_transform(range(1, len(n.v) + 1), lambda i: n.v[i] * lq.v[i])) / sqrt(list_sum(list_transform(n.v, lambda x: x * x))) / sqrt(list_sum(list_transform(lq.v, lambda x: x * x))) AS score FROM n, lq)
+            SELECT chunk_id, round(greatest(0, score), 6) AS score FROM s ORDER BY greatest(0, score) DESC, chunk_id LIMIT 20""",
+        "sentence_pick": f"""WITH RECURSIVE {_queries(X.QUERIES)}, pr AS (SELECT chunk_id, any_value(text) AS text FROM {_C} WHERE doc_id IN (SELECT doc_id FROM documents WHERE NOT ({_is_code('source')})) GROUP BY chunk_id),
+            pt AS (SELECT query_id || ':' || chunk_id AS key, text, query FROM pr, q), {_ranked_sentences('pt')} SELECT key, md5(summary) AS digest FROM picked""",
+        "code_signatures": f"WITH x AS (SELECT doc_id, {_signatures('text')} AS x FROM documents WHERE {_is_code('source')} AND text IS NOT NULL) SELECT doc_id, len(x)::INT AS n, md5(array_to_string(x, '|')) AS digest FROM x",
+        "query_costs": f"""WITH s AS (SELECT lang, sum({_estimate('raw_text')})::BIGINT AS raw, sum({_estimate('cleaned_text')})::BIGINT AS clean FROM documents GROUP BY lang), c AS (SELECT lang, raw * {evaluation.PER_MILLION}::DOUBLE / 1000000 AS a, clean * {evaluation.PER_MILLION}::DOUBLE / 1000000 AS b FROM s)
+            SELECT lang, round(a, 6) AS raw_cost, round(b, 6) AS compressed_cost, round(a - b, 6) AS saved_cost, round(round(a - b, 6) * 100, 4) AS saved_cost_100 FROM c""",
+        "model_slugs": f"""WITH c AS (SELECT DISTINCT dimensions, trim(coalesce(backend, ''), ' ') AS b, trim(coalesce(model_name, 'none'), ' ') AS m FROM chunk_embeddings), r AS (SELECT dimensions, left(regexp_replace(b, '[^a-zA-Z0-9._-]+', '_', 'g'), 120) AS b, left(regexp_replace(m, '[^a-zA-Z0-9._-]+', '_', 'g'), 120) AS m FROM c)
+            SELECT DISTINCT dimensions, CASE WHEN b = '' THEN 'default' ELSE b END AS backend, CASE WHEN m = '' THEN 'default' ELSE m END AS model FROM r""",
+        "patch_files": """WITH r AS (SELECT doc_id::VARCHAR AS file, text, string_split(text, chr(10))[1] AS f FROM documents WHERE text IS NOT NULL), p AS (SELECT * FROM r WHERE NOT contains(f, chr(13)) AND NOT regexp_matches(f, '^(<{5,}|={5,}|>{5,}|@@)')),
+            n AS (SELECT *, CASE WHEN f = '' THEN 0 ELSE (length(text) - length(replace(text, f, ''))) // length(f) END AS n FROM p)
+            SELECT file, CASE WHEN n = 1 THEN 1 ELSE 0 END AS applied, CASE WHEN n = 1 THEN 0 ELSE 1 END AS failed, md5(CASE WHEN n = 1 THEN replace(text, f, 'patched') ELSE text END) AS digest FROM n""",
         "sentence_jaccard": f"""WITH pr AS (SELECT chunk_id, any_value(text) AS text FROM {_C} WHERE doc_id IN (SELECT doc_id FROM documents WHERE NOT ({_is_code('source')})) GROUP BY chunk_id),
             s AS (SELECT chunk_id, list_transform({_SENT}, lambda s: list_distinct({_tokens('s')})) AS ss FROM pr), e AS (SELECT chunk_id, unnest(ss) AS x, generate_subscripts(ss, 1) - 1 AS i FROM s)
             SELECT a.chunk_id, a.i AS i, b.i AS j, round(len(list_intersect(a.x, b.x))::DOUBLE / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))), 6) AS jaccard FROM e a JOIN e b ON a.chunk_id = b.chunk_id AND a.i < b.i WHERE len(list_intersect(a.x, b.x)) > 0""",
-        "merge_runs": f"""WITH c AS (SELECT c.*, source FROM {_C} c JOIN documents USING (doc_id) WHERE c.text IS NOT NULL AND chunk_index % 4 <> 3 QUALIFY row_number() OVER (PARTITION BY c.doc_id, chunk_index ORDER BY chunk_id) = 1),
+        "merge_runs": f"""WITH c AS (SELECT c.*, source FROM {_C} c JOIN documents USING (doc_id) WHERE c.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c.doc_id, chunk_index ORDER BY chunk_id) = 1),
             r AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS run FROM c)
             SELECT doc_id, min(chunk_index) AS first_index, count(*) AS merged, arg_min(chunk_id, chunk_index) AS chunk_id, coalesce(sum(token_estimate), 0)::BIGINT AS token_estimate, max(chunk_index)::DOUBLE AS final_score, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS digest FROM r GROUP BY doc_id, run""",
         "budget_pack": f"""WITH RECURSIVE b AS (SELECT doc_id, text AS bullet, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, text) AS r FROM (SELECT DISTINCT ON (chunk_id) * FROM {_C} WHERE text IS NOT NULL)),
@@ -203,7 +299,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_guard": f"""SELECT doc_id, CASE WHEN text IS NULL OR contains(text, 'corekit.telemetry') THEN 'pass' WHEN len({_words('text')}) > 3000 THEN 'reject' WHEN len({_words('text')}) > 800 THEN 'compress'
             WHEN len({_words('text')}) > 900 OR len(string_split(text, chr(10))) > 120 THEN 'warn' ELSE 'pass' END AS verdict FROM documents""",
         "prompt_fields": "SELECT event_id, coalesce(json_extract_string(props, '$.prompt'), json_extract_string(props, '$.text'), json_extract_string(props, '$.k')) AS field FROM events",
-        "retrieval_quality": f"""WITH {_bm25(X.QUERIES)}, {_TOP}, j(query_id, relevant, irrelevant) AS (VALUES {judged}),
+        "retrieval_quality": f"""WITH {_bm25(X.JUDGED_QUERIES)}, {_TOP}, j(query_id, relevant, irrelevant) AS (VALUES {judged}),
             r AS (SELECT query_id, rank, relevant, irrelevant, {low} AS body FROM top JOIN (SELECT chunk_id, any_value(text) AS text FROM ck GROUP BY chunk_id) USING (chunk_id) JOIN j USING (query_id)),
             h AS (SELECT *, {keywords} AS k, len(list_filter(irrelevant, lambda k: contains(body, lower(k)))) AS bad FROM r),
             a AS (SELECT query_id, sum(CASE WHEN rank <= 5 AND len(k) > 0 AND bad = 0 THEN 1 ELSE 0 END) / least(5, count(*)) AS p, len(list_distinct(flatten(list(CASE WHEN rank <= 5 THEN k ELSE [] END)))) / max(len(relevant)) AS rc,
