@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -64,7 +65,7 @@ def apply_text(content: str, patch: str | None, file: str = "") -> tuple[str, in
         if new is None:
             left = len(blocks) - i - 1
             return content, 0, len(blocks), why + (f"; {left} blocks skipped" if left else "")
-    return new, len(blocks), 0, "ok" if blocks else "no blocks"
+    return new, len(blocks), 0, "ok"
 
 
 def apply_patches(files: DataFrame, patches: DataFrame, dry_run: bool = False) -> DataFrame:
@@ -86,3 +87,38 @@ def apply_patches(files: DataFrame, patches: DataFrame, dry_run: bool = False) -
 
     one = patches.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("patch")), "\n").alias("patch"))
     return files.join(one, "file", "full_outer").mapInPandas(run, "file string, content string, applied int, failed int, message string")
+
+
+def apply_to_folder(text: str, folder: Path, default: str | None = None, dry_run: bool = False) -> dict:
+    """{applied, failed, messages} of a patch over files of a folder: one transaction a file; a block without a file goes to ``default``."""
+    out: dict = {"applied": 0, "failed": 0, "messages": []}
+    groups: dict[str, list[dict]] = {}
+    for b in parse_blocks(text):
+        name = b["file"] or default
+        if name is None:
+            out["failed"] += 1
+            out["messages"].append(f"line {b['line']}: no file")
+        else:
+            groups.setdefault(name, []).append(b)
+    for name, blocks in groups.items():
+        path = folder / name
+        try:
+            content = new = path.read_text(encoding="utf-8")
+        except (OSError, UnicodeError) as e:
+            out["failed"] += len(blocks)
+            out["messages"].append(f"{name}: {type(e).__name__}")
+            continue
+        why = "ok"
+        for b in blocks:
+            new, why = apply_block(new, b, name)
+            if new is None:
+                break
+        if new is None:
+            out["failed"] += len(blocks)
+            out["messages"].append(f"{name}: {why}; file kept")
+            continue
+        if not dry_run and new != content:
+            path.write_text(new, encoding="utf-8")
+        out["applied"] += len(blocks)
+        out["messages"].append(f"{name}: {len(blocks)} blocks{' (dry run)' if dry_run else ''}")
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import time
 import uuid
 from dataclasses import asdict, replace
@@ -67,7 +66,8 @@ class Engine:
         go, the new ones are cleaned, chunked, embedded by hashing where there is a vector table, and indexed."""
         docs, chunks = _chunked(files, self.settings)
         dead = self.documents.join(files.select("source").distinct(), "source", "left_semi").select("doc_id").distinct()
-        documents = materialize(lifecycle.upsert(self.documents, docs, "source").select(*docs.columns) if set(docs.columns) <= set(self.documents.columns) else lifecycle.upsert(self.documents.select(*[c for c in docs.columns if c in self.documents.columns]), docs, "source"), "documents")
+        common = [c for c in self.documents.columns if c in docs.columns]
+        documents = materialize(lifecycle.upsert(self.documents.select(*common), docs.select(*common), "source"), "documents")
         kept = self.raw_chunks.join(dead, "doc_id", "left_anti").select("chunk_id", "doc_id", "chunk_index", "text", "token_estimate")
         chunks = materialize(chunks.select("chunk_id", "doc_id", "chunk_index", "text", "token_estimate"), "chunks")
         embeddings = self.embeddings
@@ -184,6 +184,3 @@ def _chunked(files: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame
     chunks = chunking.chunk_documents(docs, settings.chunk_words, settings.chunk_overlap)
     return docs, chunks.withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index"))
 
-
-def hash_text(text: str) -> str:
-    return hashlib.blake2b(text.encode(), digest_size=16).hexdigest()

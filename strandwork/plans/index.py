@@ -42,14 +42,14 @@ class Index:
         once = once.join(owners, "doc_id", "left").withColumn("live", F.coalesce("live", F.lit(False)))
         once.select("chunk_id", "doc_id", "chunk_index", "text", "token_estimate", "source", "live", size).sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{path}/chunks")
         stored = spark.read.parquet(f"{path}/chunks")
-        row = stored.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean")).first()
-        docs = documents.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("updated_at").cast("string")), F.lit("")).alias("t")).first() if "updated_at" in documents.columns else None
+        content = F.sum(F.xxhash64("chunk_id", "text", "source").cast("decimal(38,0)")).cast("string")
+        row = stored.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"), F.coalesce(content, F.lit("")).alias("content")).first()
         buckets = buckets_for(row.n)
         each = stored.select("chunk_id", "n_tokens", "live", F.posexplode(T.index_tokens(F.col("text"))).alias("pos", "token"))
         each = each.withColumn("bucket", F.pmod(F.crc32("token"), F.lit(buckets)).cast("int"))
         each = each.repartition(buckets, "bucket").sortWithinPartitions("bucket", "token", "chunk_id", "pos")
         each.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        stats = {"n": row.n, "mean": row.mean or 0.0, "buckets": buckets, "stamp": f"{docs.n}|{row.n}|{docs.t}" if docs else str(row.n)}
+        stats = {"n": row.n, "mean": row.mean or 0.0, "buckets": buckets, "stamp": f"{row.n}|{row.content}"}
         spark.createDataFrame([(json.dumps(stats),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stats")
         return cls(spark, path, **stats)
 
@@ -74,7 +74,8 @@ class Index:
         key = f"{zlib.crc32(chr(10).join(sorted(parts)).encode()):08x}-{len(parts)}"
         path = f"{shared_dir(spark)}/strandwork/index-{key}"
         known = (spark.sparkContext.applicationId, path)
-        if known not in _BUILT or not file_system(spark, f"{path}/stats/_SUCCESS")[0].exists(file_system(spark, f"{path}/stats/_SUCCESS")[1]):
+        system, done = file_system(spark, f"{path}/stats/_SUCCESS")
+        if known not in _BUILT or not system.exists(done):
             _BUILT[known] = cls.open(spark, path) or cls.build(documents, chunks, path)
         return _BUILT[known]
 

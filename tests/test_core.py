@@ -283,3 +283,166 @@ def test_forms():
     one = either("export? class NAME", "type WORD struct|interface")
     assert [m.group() for m in re.finditer(one, "class A\n class B\nexport class C\ntype D interface")] == ["class A", "export class C", "type D interface"]
     assert [bool(re.search(chunking.BOUNDARIES[s], x)) for s, x in ((".py", "@dec"), (".py", "x = class y"), (".rs", "impl<T> A for B"), (".java", "public static void main("), (".c", "return;"))] == [True, False, True, True, False]
+
+
+def test_syntax_trees(spark):
+    from strandwork.operators import syntax
+
+    text = "import x\n@dec\ndef f(a):\n    def g():\n        pass\n    return g\n\nif x:\n    class K:\n        def m(self):\n            return 1\n"
+    assert syntax.segments(text) == ["@dec\ndef f(a):\n    def g():\n        pass\n    return g", "    class K:\n        def m(self):\n            return 1"]
+    assert syntax.segments("def (") == syntax.segments(None) == syntax.segments("x = 1") == []
+    new, why = syntax.replace_definition(text, "method", "K.m", "def m(self):\n  return 2\n")
+    assert why == "ok" and "        def m(self):\n          return 2\n" in new and new.startswith("import x\n@dec\ndef f")
+    assert syntax.replace_definition(text, "function", "nope", "x")[0] is None and syntax.replace_definition("def (", "class", "K", "x") == (None, "no syntax tree")
+    docs = spark.createDataFrame([(1, "a.py", text), (2, "b.py", "def ("), (3, "c.md", "plain words")], "doc_id long, source string, cleaned_text string")
+    got = {r.doc_id: r.text for r in chunking.chunk_documents(docs, 100, 20, trees=True).collect()}
+    assert "import x" not in got[1] and "@dec" in got[1] and got[2] == "def (" and got[3] == "plain words"
+
+
+def test_patch_transactions(spark, tmp_path):
+    from strandwork.plans.fixtures import BLOCK
+
+    named = lambda f, a, b: BLOCK.format(a, b).replace("SEARCH", f"SEARCH ({f})", 1)
+    (tmp_path / "a.py").write_text("x = 1\ny = 2\n")
+    (tmp_path / "b.py").write_text("z = 1\n")
+    text = named("a.py", "x = 1", "x = 5") + named("b.py", "z = 1", "z = 9") + named("b.py", "nope", "no") + named("c.py", "a", "b") + BLOCK.format("q", "r")
+    dry = patch.apply_to_folder(text, tmp_path, dry_run=True)
+    assert (tmp_path / "a.py").read_text() == "x = 1\ny = 2\n" and (dry["applied"], dry["failed"]) == (1, 4)
+    assert patch.apply_to_folder(text, tmp_path)["applied"] == 1
+    assert (tmp_path / "a.py").read_text() == "x = 5\ny = 2\n" and (tmp_path / "b.py").read_text() == "z = 1\n"
+    files = spark.createDataFrame([("a.py", "x = 1\n")], "file string, content string")
+    patches = spark.createDataFrame([("a.py", BLOCK.format("x = 1", "x = 2")), ("gone.py", BLOCK.format("a", "b")), ("a.py", None)], "file string, patch string")
+    rows = {r.file: r for r in patch.apply_patches(files, patches, dry_run=True).collect()}
+    assert rows["a.py"].content == "x = 1\n" and rows["a.py"].applied == 1 and rows["gone.py"].failed == 1 and rows["gone.py"].content is None
+
+
+def test_deep_prompt_fields(spark):
+    payloads = ['{"a": [{"b": {"message": "deep"}}], "session_id": " "}', '{"prompt": "top", "x": {"user_prompt": "no"}}', '{"n": 1, "list": ["leaf"], "meta": {"conversationId": " c7 "}}', "[]", "{", None, '{"a":' * 300 + '"end"' + "}" * 300]
+    assert column(spark, payloads, guard.prompt_of) == ["deep", "top", "leaf", "", None, None, "end"]
+    assert column(spark, payloads[:4], guard.session_of) == ["default", "default", "c7", "default"]
+
+
+def test_fusion_of_rows_and_weights(spark):
+    a = spark.createDataFrame([(0, 1, 1, -2.0, 0.0)], "query_id int, chunk_id long, fts_rank int, bm25 double, vector_score double")
+    b = spark.createDataFrame([(0, 1, 2, 0.5), (0, 2, 1, 0.9)], "query_id int, chunk_id long, vector_rank int, vector_score double")
+    got = {r.chunk_id: r for r in fusion.fuse(a, b).collect()}
+    assert (got[1].vector_score, got[1].vector_rank, got[1].fts_rank) == (0.0, 2, 1) and (got[2].vector_score, got[2].bm25) == (0.9, None)
+    assert fusion.weights({"overlap": 0.5}).overlap == 0.5 and fusion.weights().fts == 0.5
+    for bad in ({"nope": 1}, {"fts": True}, {"fts": "1"}):
+        with pytest.raises(ValueError):
+            fusion.weights(bad)
+    runs = spark.createDataFrame([("s", i, i + 10, "t", 5, 0.1 * i, 1.0 - i, i) for i in (0, 1, 3)], "source string, chunk_index int, chunk_id long, text string, token_estimate int, final_score double, overlap double, fts_rank int")
+    got = {r.first_index: r for r in fusion.merge_runs(runs, ["source"]).collect()}
+    assert (got[0].merged, got[0].token_estimate, got[0].overlap, got[0].fts_rank, got[0].chunk_id) == (2, 10, 1.0, 0, 10) and got[3].merged == 1
+
+
+def test_report(spark):
+    p = spark.createDataFrame([(100, 20, 300), (50, 10, 60)], "selected_tokens long, compressed_tokens int, pool_tokens long")
+    q = spark.createDataFrame([(0.9, 0.8, 1.0, 0.7)], "precision double, recall double, mrr double, ndcg double")
+    t = spark.createDataFrame([(float(i),) for i in range(1, 101)], "ms double")
+    r = evaluation.report(p, q, t, 1_000_000, 5.0)
+    assert r["tokens"]["ratio"] == 5.0 and r["quality"]["label"] == "Excellent" and r["latency_ms"]["p95"] == 96.0 and r["cost_usd"]["baseline"] == 3.0
+    assert "| p95 | 96.0 |" in evaluation.report_markdown(r) and "## cost usd" in evaluation.report_markdown(r)
+    values = [1e9] + [float(x % 37) for x in range(500)]
+    got = evaluation.percentiles(spark.createDataFrame([("a", v) for v in values] + [("b", 2.0)], "k string, v double"), ["k"], "v").where("k = 'a'").first()
+    assert (got.p50, got.p95, got.p99) == tuple(sorted(values)[len(values) * x // 100] for x in (50, 95, 99))
+
+
+def test_embedding_backends(spark):
+    from strandwork.operators import embedding
+
+    rows = spark.createDataFrame([(i, "abc"[: i % 4]) for i in range(150)] + [(999, None)], "chunk_id long, text string")
+    load = lambda: (lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    got = {r.chunk_id: r for r in embedding.embed_with(rows, " ML", {"ml": load}, 2).collect()}
+    assert len(got) == 150 and got[3].vector == pytest.approx([3 / 10**0.5, 1 / 10**0.5]) and got[3].backend == "ml"
+    assert embedding.resolve("onnx", {}) == embedding.resolve(None, {}) == embedding.resolve("odd", {"odd": load}) == "hash"
+    assert embedding.embed_with(rows, "onnx", {}, 8).first().backend == "hash"
+    pooled = embedding.mean_pool(np.array([[[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]]]), np.array([[1, 1, 0]]))
+    assert pooled.tolist() == [[2.0, 3.0]]
+    with pytest.raises(Exception, match="instead of"):
+        embedding.embed(rows, "narrow", load, 3).count()
+
+
+@pytest.mark.parametrize("n", [40, 1400])
+def test_stored_ann(spark, tmp_path, n):
+    from strandwork.operators import ann
+
+    x = np.random.default_rng(3).normal(size=(n, 8))
+    path = ann.open_or_build(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id long, vector array<double>"), str(tmp_path / "ann"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = ann.search(spark, path, x[5].tolist(), 10)
+    assert [r.chunk_id for r in found.collect()] == np.argsort(-(unit @ unit[5]), kind="stable")[:10].tolist()
+    assert ann.stem(spark, "ml", 96, "a/b c") == "ml_96_a_b_c" and ann.stem(spark, "hash", 8, None) == "hash_8_none"
+    texts = spark.createDataFrame([(5, "five"), (6, "six")], "chunk_id long, text string")
+    assert "five" in {r.text for r in ann.with_chunks(found, texts).collect()}
+
+
+def test_store(spark, tmp_path):
+    from strandwork.sources.store import SCHEMAS, Store
+
+    spark.createDataFrame([(1, 2)], "chunk_id long, doc_id long").write.parquet(str(tmp_path / "s" / "chunks"))  # an older table
+    store = Store.open(spark, str(tmp_path / "s"))
+    assert store.read("chunks").collect() == [(1, 2, None, None, None)] and set(spark.read.parquet(str(tmp_path / "s" / "chunks")).columns) == {"chunk_id", "doc_id", "chunk_index", "text", "token_estimate"}
+    store.append("chunks", spark.createDataFrame([(7, "x", "clash")], "chunk_id long, text string, extra string"))
+    store.upsert("chunks", spark.createDataFrame([(7, "y")], "chunk_id long, text string"), "chunk_id")
+    assert {(r.chunk_id, r.text) for r in store.read("chunks").collect()} == {(1, None), (7, "y")}
+    assert {r.name for r in store.vacuum().collect()} == set(SCHEMAS) and store.read("chunks").count() == 2
+    with pytest.raises(Exception):
+        store.replace("chunks", spark.range(1).select(F.raise_error(F.lit("no")).alias("chunk_id")))
+    assert store.read("chunks").count() == 2
+
+
+def test_upsert_cache_and_adaptive_search(spark, tmp_path):
+    from strandwork.plans.engine import vector_path
+
+    files_ = spark.createDataFrame([(1, "a.md", "Session tokens are checked here. They expire."), (2, "b.md", "Palette notes only."), (3, "c.md", "Tokens of another kind.")], "doc_id long, source string, raw_text string")
+    e = Engine.index(spark, files_)
+    e.embeddings = spark.createDataFrame([], "chunk_id long, embedding_json string, backend string, dimensions int, model_name string")
+    again = e.upsert(spark.createDataFrame([(9, "b.md", "Now about session tokens too."), (4, "d.md", "")], "doc_id long, source string, raw_text string"))
+    assert {r.doc_id for r in again.raw_chunks.collect()} == {1, 3, 9} == {r.doc_id for r in again.documents.collect()}
+    assert again.embeddings.count() == 1 and {r.chunk_id for r in again.lexical([(0, "palette")]).collect()} == set()
+    cache, q = str(tmp_path / "cache"), [(0, "session tokens"), (1, "???")]
+    first, second, late = ({r.query_id: r for r in again.answer(q, cache, now=t).collect()} for t in (1000, 1500, 5000))
+    assert [r[0].hit for r in (first, second, late)] == [False, True, False] and first[0].payload == second[0].payload
+    packet = json.loads(first[0].payload)
+    assert packet["packet"].startswith("CONTEXT_PACKET_START\nquery: session tokens\nselected_chunks: ") and "\n- " in packet["packet"] and json.loads(first[1].payload)["bullets"] == []
+    assert again.with_settings(top_k=1).answer(q[:1], cache, now=1500).first().hit is False  # settings are part of the key
+    assert e.answer(q[:1], cache, now=1500).first().hit is False  # so is the state of the index
+    hits = spark.createDataFrame([(0,), (5,)], "n long").orderBy("n")
+    path = lambda *a: [r[0] for r in hits.select(vector_path(*a[:2], F.col("n"), 3, a[2])).collect()]
+    assert path("fts_only", "fallback", "ml") == ["disabled_small_codebase"] * 2 and path("fts_only", "always", "ml") == ["scan"] * 2
+    assert path("full_hybrid", "fallback", "ml") == ["scan", "disabled"] and path("fts_with_hash", "fallback", "hash") == ["skipped_hash_backend", "disabled"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import io
+
+    from strandwork import __main__ as cli
+
+    src, store = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    (src / "auth.md").write_text("The middleware checks session tokens. It rejects stale ones.\n")
+    (src / "css.md").write_text("Palette notes only.\n")
+    run = lambda *a: (cli.main(list(a)), capsys.readouterr().out)
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    code, out = run("run", "--store", store, "--inputs", str(src), "--query", "session tokens", "--json")
+    found = json.loads(out.strip().splitlines()[-1])
+    assert code == 0 and {"query", "selected_chunks", "token_metrics", "retrieval", "packet"} <= found.keys() and found["selected_chunks"] == 1 and not found["cache"]["hit"]
+    assert json.loads(run("query", "--store", store, "--query", "session tokens", "--json")[1])["cache"]["hit"]
+    assert run("query", "--store", store, "--query", "w " * 600)[0] == 2
+    (tmp_path / "none").mkdir()
+    assert run("index", "--store", store, "--inputs", str(tmp_path / "none"))[0] == 1
+    (src / "css.md").unlink()
+    (src / "new.md").write_text("Fresh ledger words.\n")
+    assert json.loads(run("sync", "--store", store, "--inputs", str(src))[1]) == {"new": 1, "modified": 0, "deleted": 1}
+    assert json.loads(run("gc", "--store", store, "--vacuum")[1])["chunks"] == 0
+    stats = json.loads(run("stats", "--store", store)[1])
+    assert stats["rows"]["documents"] == stats["rows"]["chunks"] == 2 and stats["bytes"]["chunks"] > 0
+    monkeypatch.setattr("sys.stdin", io.StringIO("Alpha beta. Gamma delta words here."))
+    code, out = run("compress-raw")
+    assert code == 0 and "intercepted_prompt.txt#chunk-0" in out and out.startswith("CONTEXT_PACKET_START")
+    monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps({"deep": {"prompt": "word " * 900}, "session_id": "s"})))
+    told = json.loads(run("guard", "--turn", "10")[1])
+    assert (told["verdict"], told["reminder"], told["session"]) == ("compress", "compact", "s") and told["transformedPrompt"]
+    report = cli.benchmark(cli.open_engine(cli.Store.open(spark, store), settings.Settings()), [("session tokens", ["session"], ["css"])], ["ledger"])
+    assert report["summary"]["queries"] == 2 and report["quality"]["mrr"] == 1.0
