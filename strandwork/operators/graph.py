@@ -66,10 +66,20 @@ def candidate_paths(source: Column, target: Column) -> Column:
     folder = F.regexp_replace(source, r"[^/]*$", "")
     plain = [F.concat(folder, target, F.lit(e)) for e in (".py", ".ts", ".js", "/__init__.py", "/index.ts", "/index.js")]
     dotted = [F.concat(folder, F.translate(target, ".", "/"), F.lit(e)) for e in (".py", ".ts")]
-    tidy = lambda p: F.regexp_replace(F.regexp_replace(p, r"/(\./)+", "/"), r"[^/]+/\.\./", "")
     return F.array(*map(tidy, plain + dotted))
 
 
+def tidy(path: Column) -> Column:
+    """A path without . and .. parts, however many: each .. takes back the part before it; one with nothing before it stays."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        return F.when(part == ".", done).when(back, F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+
+
 def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(source_file, target_import, resolved_file): the first candidate that is an indexed file, else null."""
     each = edges.select("source_file", "target_import", F.posexplode(candidate_paths(F.col("source_file"), F.col("target_import"))).alias("pos", "path"))

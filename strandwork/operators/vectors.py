@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,7 @@ from strandwork.session import drop_materialized, materialize
 
 #: Names of embedding backends; any other name means hash.
 BACKENDS = ("hash", "onnx", "ml")
+_TOKENS = re.compile("[a-z0-9_]+").findall
 
 
 def backend(name: Column) -> Column:
@@ -52,27 +56,43 @@ def hash_key(key: str, dimensions: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big") % dimensions, 1 if d[8] % 2 == 0 else -1
 
 
+_PLACES: dict[tuple[str, int], tuple[int, int]] = {}
+_FEATURES = 1_000_000
+
+
+def hash_vector(text: str, dimensions: int, w: Weights = Weights()) -> np.ndarray:
+    """The unit vector of a text's words and 3-grams, each placed by its hash; zeros for a text without tokens."""
+    counts: dict[str, float] = {}
+    for t, n in Counter(_TOKENS(text.lower())).items():
+        counts["w:" + t] = counts.get("w:" + t, 0.0) + n
+        padded = f"^{t}$"
+        for i in range(max(1, len(padded) - 2)):
+            g = "g:" + padded[i : i + 3]
+            counts[g] = counts.get(g, 0.0) + n * w.ngram
+    out = np.zeros(dimensions)
+    for f, c in counts.items():
+        place = _PLACES.get((f, dimensions))
+        if place is None:
+            if len(_PLACES) >= _FEATURES:
+                _PLACES.clear()
+            place = _PLACES[(f, dimensions)] = hash_key(f, dimensions)
+        out[place[0]] += place[1] * (1 + math.log1p(c))
+    size = math.sqrt(out @ out)
+    return out / size if size else out
+
+
 def hash_embeddings(df: DataFrame, dimensions: int = 256, key: str = "chunk_id", text: str = "text", w: Weights = Weights()) -> DataFrame:
-    """(key, vector) of each text from its words and 3-grams; the distinct features are hashed once and joined.
-
-    A text without tokens has the zero vector; null texts give no row."""
-    rows = df.where(F.col(text).isNotNull()).select(key, T.tokens(F.col(text)).alias("toks")).dropDuplicates([key])
-    terms = rows.select(key, F.explode("toks").alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
-    word = terms.select(key, F.concat(F.lit("w:"), "t").alias("f"), F.col("n").cast("double").alias("c"))
-    grams = terms.select(key, F.explode(T.ngrams(F.col("t"))).alias("g"), (F.col("n") * w.ngram).alias("c"))
-    gram = grams.select(key, F.concat(F.lit("g:"), "g").alias("f"), "c")
-    features = word.unionByName(gram).groupBy(key, "f").agg(F.sum("c").alias("c"))
-
-    @F.pandas_udf("struct<i:int,s:int>")
-    def place(f: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([hash_key(x, dimensions) for x in f], columns=["i", "s"])
-
-    placed = features.select("f").distinct().withColumn("p", place("f")).select("f", "p.i", "p.s")
-    cells = features.join(placed, "f").groupBy(key, "i").agg(F.sum(F.col("s") * (1 + F.log1p("c"))).alias("v"))
-    norm = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("norm")), F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    return rows.select(key).join(norm, key, "left").select(key, F.when(F.col("m").isNull(), zeros).otherwise(value).alias("vector"))
+    """(key, vector) of each text from its words and 3-grams, in one pass over Arrow batches; a worker keeps the places of the features it has met.
+
+    A text without tokens has the zero vector; null texts give no row; of rows with one key one counts."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "vector": [hash_vector(t, dimensions, w) for t in pdf["text"]]})
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(text).isNotNull()).groupBy(key).agg(F.min(text).alias("text"))
+    return rows.mapInPandas(run, f"{key} {kind}, vector array<double>")
 
 
 def _as_ml(df: DataFrame, key: str):

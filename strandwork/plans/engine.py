@@ -63,9 +63,10 @@ class Engine:
 
     def upsert(self, files: DataFrame) -> "Engine":
         """The engine after files (doc_id, source, raw_text) replaced those with the same source: chunks, postings and vectors of the old ones
-        go, the new ones are cleaned, chunked, embedded by hashing where there is a vector table, and indexed."""
+        go, the new ones are cleaned, chunked, embedded by hashing where there is a vector table, and indexed. Files that are empty when cleaned
+        are passed over: what is there of them stays."""
         docs, chunks = _chunked(files, self.settings)
-        dead = self.documents.join(files.select("source").distinct(), "source", "left_semi").select("doc_id").distinct()
+        dead = self.documents.join(docs.select("source").distinct(), "source", "left_semi").select("doc_id").distinct()
         common = [c for c in self.documents.columns if c in docs.columns]
         documents = materialize(lifecycle.upsert(self.documents.select(*common), docs.select(*common), "source"), "documents")
         kept = self.raw_chunks.join(dead, "doc_id", "left_anti").select("chunk_id", "doc_id", "chunk_index", "text", "token_estimate")
@@ -126,7 +127,7 @@ class Engine:
 
     def rerank(self, queries: list[tuple[int, str]], vector: DataFrame | None = None, mode: str = "always", backend: str = "ml") -> DataFrame:
         """Candidates with all scores and final_score; a vector ranking is joined by chunk."""
-        return fusion.weighted(self.pool(queries, vector, mode, backend).where("chunk_id IS NOT NULL"))
+        return fusion.weighted(self.pool(queries, vector, mode, backend).where("chunk_id IS NOT NULL"), self.settings.weights)
 
     def select(self, candidates: DataFrame) -> DataFrame:
         return lexical.top_k(candidates, self.settings.top_k, score="final_score", descending=True)
@@ -135,7 +136,7 @@ class Engine:
         """The packet of each query: bullets, words, token metrics, how it was retrieved, and its text. Queries that are too long are left out."""
         fit = [(i, t) for i, t in queries if len(t.split()) <= T.QUERY_WORDS and t.count("\n") < T.QUERY_LINES]
         pool = self.pool(fit, vector, mode, backend)
-        scored = fusion.weighted(pool)
+        scored = fusion.weighted(pool, self.settings.weights)
         if self.settings.use_rrf:  # reciprocal ranks wherever both rankings were asked for
             scored = scored.withColumn("final_score", F.when(F.col("vector_hits") > 0, fusion.reciprocal("fts_rank", "vector_rank")).otherwise(F.col("final_score")))
         offered = scored.where("chunk_id IS NOT NULL")

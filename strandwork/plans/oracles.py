@@ -1,11 +1,11 @@
 """SQL equivalents of the registered queries, for another engine to run on the same tables.
 
-Queries without one (hash features, k-means, packed code segments, syntax trees, a corpus cut anew) are tested against brute force."""
+Queries without one (hash features, k-means, syntax trees) are tested against brute force or exact values."""
 
 from __future__ import annotations
 
 from strandwork.functions import text as T
-from strandwork.operators import compress, evaluation, graph, guard, lexical
+from strandwork.operators import chunking, compress, evaluation, graph, guard, lexical
 from strandwork.plans import fixtures as X
 
 _WS = r"[ \t\n\x0B\f\r]+"
@@ -112,6 +112,44 @@ def _symbols() -> str:
       sym AS (SELECT DISTINCT file_path, s.n AS symbol_name, symbol_type, s.s AS signature, chunk_id FROM ({" UNION ALL ".join(parts)}))""".replace("SELECT chunk_id, source, text FROM", "SELECT c.chunk_id, source, c.text FROM")
 
 
+def _tidy(path: str, depth: int = 12) -> str:
+    out = rf"regexp_replace({path}, '/(\./)+', '/', 'g')"
+    for _ in range(depth):
+        out = rf"regexp_replace({out}, '(^|/)[^/.][^/]*/\.\./', '\1')"
+    return out
+
+
+def _chunked_lines(rows: str, size: int) -> str:
+    """CTEs up to lines(key, n, t): the chunks of (key, text) of at most ``size`` words, whole lines, without overlap."""
+    return f"""ll AS (SELECT key, string_split(text, chr(10)) AS l FROM {rows}), lw AS (SELECT key, l, list_transform(l, lambda x: greatest(1, len({_words('x')}))) AS w FROM ll),
+      lp AS (SELECT key, l, len(l) AS c, list_transform(range(0, len(l) + 1), lambda k: coalesce(list_sum(list_slice(w, 1, k)), 0)::INT) AS p FROM lw),
+      lr AS (SELECT key, l, c, p, 0 AS n, 0 AS s, greatest(1, len(list_filter(p, lambda x: x <= {size})) - 1) AS e FROM lp UNION ALL SELECT key, l, c, p, n + 1, e, greatest(e + 1, len(list_filter(p, lambda x: x <= p[e + 1] + {size})) - 1) FROM lr WHERE e < c),
+      lines AS (SELECT key, n, array_to_string(list_slice(l, s + 1, e), chr(10)) AS t FROM lr)"""
+
+
+def _chunk_code(size: int = 100) -> str:
+    """Boundaries cut segments; segments are packed; what is too long, or has no boundaries, is cut by lines."""
+    most = max(size, chunking.SMALLEST)
+    opens = " OR ".join(f"(sfx = {_q(k)} AND regexp_matches(l[i], {_q(v)}))" for k, v in chunking.BOUNDARIES.items())
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, cleaned_text, {_suffix('source')} AS sfx, string_split(cleaned_text, chr(10)) AS l FROM documents WHERE {_is_code('source')} AND length(cleaned_text) > 0),
+      b AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: {opens}) AS st FROM d), a AS (SELECT *, list_distinct(list_concat([1], st)) AS al FROM b WHERE len(st) > 0), so AS (SELECT *, list_sort(al) AS ss FROM a),
+      pt AS (SELECT doc_id, k, {_strip("array_to_string(list_slice(l, ss[k], coalesce(ss[k + 1] - 1, len(l))), chr(10))")} AS text FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS k FROM so)),
+      sg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, text, len({_words('text')}) AS w FROM pt WHERE text <> ''),
+      plain AS (SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM sg)),
+      whole AS (SELECT 's:' || doc_id || ':' || k AS key, text FROM sg WHERE w > {2 * most} UNION ALL SELECT 'd:' || doc_id, cleaned_text FROM d WHERE doc_id IN (SELECT doc_id FROM plain)),
+      {_chunked_lines('whole', size)}, cut AS (SELECT key, list(t ORDER BY n) AS ts FROM lines GROUP BY key),
+      sc AS (SELECT sg.*, coalesce(ts, []) AS ts FROM sg LEFT JOIN cut ON cut.key = 's:' || doc_id || ':' || k),
+      f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::VARCHAR[] AS buf, 0::BIGINT AS n, []::VARCHAR[] AS done FROM sc
+        UNION ALL SELECT f.doc_id, sc.k, CASE WHEN w > {2 * most} THEN []::VARCHAR[] WHEN n + w > {most} AND len(buf) > 0 THEN [text] ELSE list_append(buf, text) END,
+          CASE WHEN w > {2 * most} THEN 0 WHEN n + w > {most} AND len(buf) > 0 THEN w ELSE n + w END,
+          CASE WHEN w > {2 * most} THEN list_concat(CASE WHEN len(buf) > 0 THEN list_append(done, array_to_string(buf, chr(10) || chr(10))) ELSE done END, ts) WHEN n + w > {most} AND len(buf) > 0 THEN list_append(done, array_to_string(buf, chr(10) || chr(10))) ELSE done END
+        FROM f JOIN sc ON sc.doc_id = f.doc_id AND sc.k = f.k + 1),
+      o AS (SELECT doc_id, CASE WHEN len(buf) > 0 THEN list_append(done, array_to_string(buf, chr(10) || chr(10))) ELSE done END AS ts FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1
+        UNION ALL SELECT doc_id, ts FROM plain JOIN cut ON cut.key = 'd:' || doc_id),
+      kept AS (SELECT doc_id, list_filter(ts, lambda x: {_strip('x')} <> '') AS ts FROM o), e AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS chunk_index FROM kept)
+      SELECT doc_id, chunk_index, {_estimate('t')} AS token_estimate, md5(t) AS digest FROM e"""
+
+
 def _queries(queries) -> str:
     return "q(query_id, query) AS (VALUES " + ", ".join(f"({i}, {_q(t)})" for i, t in queries) + ")"
 
@@ -216,6 +254,12 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT *, greatest(s + 1, len(list_filter(p, lambda x: x <= p[e + 1] - 20)) - 1) AS s2 FROM r WHERE e < n)),
             o AS (SELECT doc_id, chunk_index, s, e, array_to_string(list_slice(l, s + 1, e), chr(10)) AS t FROM r)
             SELECT doc_id, chunk_index, s AS first_line, e AS end_line, {_estimate('t')} AS token_estimate, md5(t) AS digest FROM o""",
+        "chunk_code": _chunk_code(),
+        "upserted_index": rf"""WITH new AS (SELECT doc_id, source, raw_text FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST, doc_id DESC) = 1),
+            l AS (SELECT doc_id, source, unnest(string_split_regex(raw_text, '\r\n|\n|\r')) AS line FROM new WHERE raw_text IS NOT NULL), c AS (SELECT DISTINCT doc_id, source FROM (SELECT doc_id, source, {line} AS x FROM l) WHERE length(x) >= 2 AND NOT ({noise}))
+            SELECT 'documents' AS name, (SELECT count(*) FROM c) + (SELECT count(*) FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM c)) AS rows
+            UNION ALL SELECT 'indexed', count(*) FROM new WHERE doc_id IN (SELECT doc_id FROM c) OR (source NOT IN (SELECT source FROM c) AND doc_id IN (SELECT doc_id FROM chunks WHERE doc_id IS NOT NULL))
+            UNION ALL SELECT 'orphans', count(*) FROM {_C} WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE source IS NOT NULL)""",
         "doc_freq": f"""WITH t AS (SELECT chunk_id, unnest({_index('text')}) AS token FROM {_C}), f AS (SELECT token, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM t GROUP BY token), n AS (SELECT count(*) AS n FROM {_C})
             SELECT token, df, cf, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END, 6) AS idf FROM f, n""",
         "bm25_topk": f"WITH {_bm25(X.QUERIES)}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, chunk_id) AS rank FROM scored QUALIFY rank <= 12) SELECT query_id, chunk_id, rank, round(bm25, 6) AS bm25 FROM t",
@@ -311,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "code_imports": f"WITH {_imports()} SELECT * FROM edges",
         "import_resolution": rf"""WITH {_imports()}, c AS (SELECT source_file, target_import, regexp_replace(source_file, '[^/]*$', '') AS dir FROM edges),
             e AS (SELECT source_file, target_import, unnest([dir || target_import || '.py', dir || target_import || '.ts', dir || target_import || '.js', dir || target_import || '/__init__.py', dir || target_import || '/index.ts', dir || target_import || '/index.js', dir || replace(target_import, '.', '/') || '.py', dir || replace(target_import, '.', '/') || '.ts']) AS p, unnest(range(8)) AS pos FROM c),
-            n AS (SELECT source_file, target_import, pos, regexp_replace(regexp_replace(p, '/(\./)+', '/', 'g'), '[^/]+/\.\./', '', 'g') AS p FROM e),
+            n AS (SELECT source_file, target_import, pos, {_tidy("p")} AS p FROM e),
             h AS (SELECT source_file, target_import, arg_min(p, pos) AS resolved_file FROM n WHERE p IN (SELECT source FROM documents) GROUP BY 1, 2)
             SELECT source_file, target_import, resolved_file FROM edges LEFT JOIN h USING (source_file, target_import)""",
         "known_dependencies": f"WITH {_imports()} SELECT {_suffix('source_file')} AS suffix, count(*) AS n FROM edges e WHERE NOT EXISTS (SELECT 1 FROM file_dependencies f WHERE f.source_file = e.source_file AND f.target_import = e.target_import) GROUP BY 1",

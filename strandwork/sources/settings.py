@@ -6,6 +6,8 @@ import json
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+from strandwork.operators.fusion import Weights, weights
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -22,13 +24,14 @@ class Settings:
     min_fts_hits: int = 3
     use_rrf: bool = True
     cache_ttl: int = 900
+    weights: Weights = Weights()
 
 
 _NAMES = {"chunkSizeWords": "chunk_words", "chunkOverlapWords": "chunk_overlap", "topK": "top_k", "wordBudget": "word_budget", "relevanceFloor": "relevance_floor", "ftsK": "fts_k"}
 
 
 def load(*paths: str) -> Settings:
-    """Wrong types, booleans for numbers and a top_k below 1 leave the default."""
+    """Wrong types, booleans for numbers and a top_k below 1 leave the default; an object "weights" takes the place of weights by name."""
     out = Settings()
     for p in paths:
         try:
@@ -43,5 +46,7 @@ def load(*paths: str) -> Settings:
             if isinstance(value, bool) or not isinstance(value, (int, float)) or field == "top_k" and value < 1:
                 continue
             out = replace(out, **{field: type(getattr(out, field))(value)})
+        if isinstance(data, dict) and isinstance(data.get("weights"), dict):
+            out = replace(out, weights=weights(data["weights"]))
         break
     return out
