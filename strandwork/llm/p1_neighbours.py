@@ -70,20 +70,36 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return np.take_along_axis(codes, one, 1)[:, 0], np.sqrt(np.einsum("ij,ij->i", recon, recon)).astype(np.float32)
 
 
-def scores(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, block: int = 4096) -> np.ndarray:
+def scores(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, block: int = 2048) -> np.ndarray:
     """Approximate cosines of every query with every code, from lookup tables only: a table row holds one codeword for all queries."""
-    tables = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books, queries, optimize=True))
+    tables = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books, queries, optimize=True), dtype=np.float32)
+    at, size = np.ascontiguousarray(codes.T).astype(np.intp), np.maximum(norms, 1e-6)[:, None]
     out = np.empty((len(queries), len(codes)), dtype=np.float32)
+    total, one = (np.empty((min(block, len(codes)), len(queries)), dtype=np.float32) for _ in range(2))
     for i in range(0, len(codes), block):
-        c = codes[i : i + block]
-        total = tables[0].take(c[:, 0], axis=0)
-        for t, own in zip(tables[1:], c[:, 1:].T):
-            total += t.take(own, axis=0)
-        total /= np.maximum(norms[i : i + block], 1e-6)[:, None]
-        out[:, i : i + block] = total.T
+        n = min(block, len(codes) - i)
+        np.take(tables[0], at[0, i : i + n], axis=0, out=total[:n], mode="clip")
+        for t, own in zip(tables[1:], at[1:]):
+            np.take(t, own[i : i + n], axis=0, out=one[:n], mode="clip")
+            np.add(total[:n], one[:n], out=total[:n])
+        np.divide(total[:n], size[i : i + n], out=total[:n])
+        out[:, i : i + n] = total[:n].T
     return out
 
 
+def best_share(row: np.ndarray, few: int, step: int = 16) -> np.ndarray:
+    """Positions of about the ``few`` largest values, at least half of them: those over a threshold read off every ``step``-th value.
+
+    The rows of a shard are in order of a hash, so every step-th one stands for all; where too few pass, they are picked exactly."""
+    n, some = len(row), row[::step]
+    rank = few // step + few // (8 * step) + 1
+    if few >= step * 8 and rank < len(some):
+        at = np.flatnonzero(row >= np.partition(some, len(some) - rank)[len(some) - rank])
+        if len(at) >= few // 2:
+            return at
+    return np.argpartition(row, n - few)[n - few :]
+
+
 def _router(shared, probes):
     def route(batches):
         for space, hashes, blobs, x, members in V.parsed_batches(batches, needs=lambda kind, _: kind == 0):
@@ -248,8 +264,8 @@ def _scan(shared, k, share, block=64):
         for i in range(0, len(q), block):
             y = q[i : i + block]
             s = y @ x.T if codes is None else scores(y, books, codes, norms)
-            top = np.argpartition(s, len(h) - few, axis=1)[:, len(h) - few :]
-            for row, at, own in zip(y, top, ah[i : i + block].tolist()):
+            for row, found, own in zip(y, s, ah[i : i + block].tolist()):
+                at = best_share(found, few)
                 exact = x[at] @ row
                 exact[h[at] == own] = -2  # its own class comes from the members
                 best = np.argsort(-exact, kind="stable")[: k + 1]

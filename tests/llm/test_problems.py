@@ -102,6 +102,15 @@ def test_p1_scan_of_late_copies(spark):
     assert got == [20 * int(i) + 1 for i in np.argsort(-(x[:-1] @ x[0]), kind="stable")[:5]]
 
 
+def test_p1_best_share():
+    rng = np.random.default_rng(2)
+    for n, few in ((50, 10), (50, 50), (20_000, 500), (20_000, 40)):
+        row = rng.normal(size=n).astype(np.float32)
+        at = p1_neighbours.best_share(row, few)
+        assert few // 2 <= len(at) <= 2 * few and set(np.argsort(-row)[: few // 2].tolist()) <= set(at.tolist())
+    assert len(p1_neighbours.best_share(np.ones(5000, dtype=np.float32), 200)) >= 100  # ties
+
+
 def test_p1_quantiser():
     rng = np.random.default_rng(1)
     x = vectors(rng, 800, 24, 40).astype(np.float32)
