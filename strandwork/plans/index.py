@@ -12,6 +12,8 @@ from strandwork.functions import text as T
 from strandwork.operators import lexical
 from strandwork.session import file_system, shared_dir
 
+#: Raised when the tables of an index change, so that one of an older layout is not opened.
+LAYOUT = 1
 _BUILT: dict[tuple[str, str], "Index"] = {}
 
 
@@ -72,7 +74,7 @@ class Index:
                 f = files.next()
                 parts.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
         key = f"{zlib.crc32(chr(10).join(sorted(parts)).encode()):08x}-{len(parts)}"
-        path = f"{shared_dir(spark)}/strandwork/index-{key}"
+        path = f"{shared_dir(spark)}/strandwork/index-{LAYOUT}-{key}"
         known = (spark.sparkContext.applicationId, path)
         system, done = file_system(spark, f"{path}/stats/_SUCCESS")
         if known not in _BUILT or not system.exists(done):
