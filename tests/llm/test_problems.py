@@ -483,3 +483,15 @@ def test_expansion_of_large_classes(spark):
 def test_registered():
     assert {f"p{n}_" for n in range(1, 10)} == {q.split("_")[0] + "_" for q in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    texts = spark.createDataFrame([(0, 1, "w " * 50, 9, 9)], "kind byte, id long, text string, node long, unit long")
+    assert p2_near.near_groups(*p2_near.near_pairs(texts.limit(0))).count() == 0
+    row = p2_near.near_groups(*p2_near.near_pairs(texts)).first()
+    assert (row.id, row.group_id, row.class_id, row.copies, row.links) == (1, 1, 1, 1, 0)
+    docs = spark.createDataFrame([(1, "x" * 300, "s", 5, 5), (2, "x" * 300, None, 5, 5), (3, None, "s", 5, 5)], "doc_id long, text string, source string, seed long, at int")
+    assert {(r.doc_id, r.class_id, r.copies, r.links) for r in p9_spans.span_classes(docs).collect()} == {(1, 1, 2, 0), (2, 1, 2, 0)}
+    assert p9_spans.span_classes(docs.limit(0)).count() == 0 and p9_spans.fuzzy_passages(docs).count() == 0
+    report = p8_packing.packing_report(p8_packing.fill_containers(docs.limit(0))).first()
+    assert (report["items"], report.containers, report.fewest, report.fill, report.conflicts) == (0, 0, 0, 0.0, 0)
