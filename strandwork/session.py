@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -75,6 +76,15 @@ def drop_materialized(df: DataFrame) -> None:
         system.delete(target, True)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package wherever the driver was started; a cluster installs it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
