@@ -7,7 +7,8 @@ both texts, at a cost for the gap, found through a Fenwick tree over positions i
 every match lies in one. Rows come from the chains alone: a run of neighbours of a chain on one diagonal without a hole is an exact span;
 a chain without a long enough run is aligned, its anchors grown character by character in both texts. Aligned from end to end
 a chain is a fuzzy passage (``fuzzy_passages``). In repetitive texts, where a seed's place in a run is arbitrary or the matches would be
-quadratic, the two texts are compared whole instead.
+quadratic, the two texts are compared whole instead: for exact spans by their hashes, for fuzzy passages by chains of all their maximal
+matches of at least K characters, of which a run has one a diagonal.
 
 Defined results: null texts and texts shorter than the limit give no row; texts equal to each other are one class (copies:
 see ``expand_pairs`` and ``span_classes``); characters are code points; repeated rows and rows with a null id add nothing; an empty table
@@ -15,7 +16,9 @@ gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,47 +82,114 @@ def seeds(hashes: np.ndarray, window: int) -> tuple[np.ndarray, bool]:
     return np.array(out, dtype=np.int64), len(out) < len(kept)
 
 
-def chains(a: list[int], b: list[int], k: int) -> list[list[int]]:
-    """Collinear chains of matches (a[i], b[i]) of length k: each match is in one chain, the best chain comes first.
+def chain_paths(a, b, k: int, sizes=None, look: int = 8) -> Iterator[list[int]]:
+    """Collinear chains of matches (a[i], b[i]) of length k, or sizes[i]: each match is in one chain, the best chain comes first.
 
     score(j) = covered characters + best score of a chain that ends before j in both texts - gap cost. A Fenwick tree over
-    ranks of b holds prefix maxima of score + (a + b) / 64, so that the part of the gap cost linear in the distance is exact."""
-    order = sorted(range(len(a)), key=lambda i: (a[i], b[i]))
-    rank = {v: r + 1 for r, v in enumerate(sorted(set(b)))}
-    tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(rank) + 1)
-    score, before = [0.0] * len(a), [-1] * len(a)
+    ranks of the ends in b holds prefix maxima of score + (ends) / 64, so that the part of the gap cost linear in the distance is exact. The match at
+    the least cost, of the last one on the same diagonal and those at the ``look`` ends before it in b, is tried as well; a chain that meets one already taken goes on with it."""
+    n = len(a)
+    size = np.full(n, k, np.int32) if sizes is None else np.asarray(sizes, np.int32)
+    u, v = np.asarray(a, np.int32) + size, np.asarray(b, np.int32) + size
+    order = np.lexsort((v, u))
+    distinct, rank = np.unique(v[order], return_inverse=True)
+    u, v, size, rank, at = (memoryview(np.ascontiguousarray(c, np.int32)) for c in (u[order], v[order], size[order], rank + 1, order))
+    tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(distinct) + 1)
+    score, before, beside = array("d", bytes(8 * n)), array("i", [-1]) * n, array("i", [-1]) * n
+    last: dict[int, int] = {}
+    latest = array("i", [-1]) * len(tree)
     put = 0
-    for i in order:
-        while a[order[put]] < a[i]:  # only matches that start earlier in both texts
-            j = order[put]
-            put += 1
-            r, value = rank[b[j]], (score[j] + (a[j] + b[j]) / 64, j)
+    for i in range(n):
+        while u[put] < u[i]:  # only matches that end earlier in both texts
+            r, value = rank[put], (score[put] + (u[put] + v[put]) / 64, put)
             while r < len(tree):
                 if tree[r] < value:
                     tree[r] = value
                 r += r & -r
-        r, best = rank[b[i]] - 1, (float("-inf"), -1)
+            latest[rank[put]] = put
+            put += 1
+        r, best = rank[i] - 1, (float("-inf"), -1)
         while r:
             best = max(best, tree[r])
             r -= r & -r
-        score[i] = float(k)
-        if best[1] >= 0:
-            j = best[1]
-            step = min(a[i] - a[j], b[i] - b[j], k)
-            drift = abs((a[i] - a[j]) - (b[i] - b[j]))
-            joined = score[j] + step - (a[i] - a[j] + b[i] - b[j] - 2 * step) / 64 - drift / 16
-            if joined > score[i]:
-                score[i], before[i] = joined, j
-    free, out = [True] * len(a), []
-    for i in sorted(order, key=lambda i: -score[i]):
+        own, x, y = size[i], u[i], v[i]
+        score[i], least = own, float("inf")
+        for j in (last.get(x - y, -1), *latest[max(0, rank[i] - look) : rank[i]]):
+            if j >= 0:
+                p, q = x - u[j], y - v[j]
+                step = min(p, q, own)
+                cost = (p + q - 2 * step) / 64 + abs(p - q) / 16
+                if cost < min(least, step):
+                    least, beside[i] = cost, j
+        last[x - y] = i
+        for j in (best[1], beside[i]):
+            if j >= 0:
+                p, q = x - u[j], y - v[j]
+                step = min(p, q, own)
+                joined = score[j] + step - (p + q - 2 * step) / 64 - abs(p - q) / 16
+                if joined > score[i]:
+                    score[i], before[i] = joined, j
+    free = bytearray(b"\1") * n
+    for i in memoryview(np.argsort(-np.frombuffer(score), kind="stable")) if n else ():
         path = []
         while i >= 0 and free[i]:
-            free[i] = False
-            path.append(i)
-            i = before[i]
+            free[i] = 0
+            path.append(at[i])
+            j = before[i]
+            i = j if j < 0 or free[j] else beside[i]
         if path:
-            out.append(path[::-1])
-    return out
+            yield path[::-1]
+
+
+def chains(a: list[int], b: list[int], k: int) -> list[list[int]]:
+    return list(chain_paths(a, b, k))
+
+
+def maximal_matches(left: np.ndarray, right: np.ndarray, k: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, length) of all common substrings of at least k characters that go on in neither direction.
+
+    Each begins with a common k-mer whose characters before differ, so a run in both texts gives one match a diagonal and its
+    quadratic number of common k-mers is never listed. Lengths come from names of blocks of 1, 2, 4, ... characters; ``block`` bounds the scratch space."""
+    own, other = kmer_hashes(left, k), kmer_hashes(right, k)
+    group = np.unique(np.concatenate([own, other]), return_inverse=True)[1].astype(np.int64) << 22
+    edge = lambda chars, n, first: np.r_[first, chars.astype(np.int64)][:n]  # noqa: E731  # the character before; at the borders none that occurs
+    ga, gb = group[: len(own)], group[len(own) :]
+    a, b = ga + edge(left, len(own), (1 << 22) - 1), gb + edge(right, len(other), (1 << 22) - 2)
+    by = np.argsort(b, kind="stable")
+    b = b[by]
+    low, high = np.searchsorted(b, ga), np.searchsorted(b, ga + (1 << 22))
+    skip, go = np.searchsorted(b, a), np.searchsorted(b, a, "right")  # these have the same character before
+    count = high - low - (go - skip)
+    total = np.cumsum(count)
+    names = [(mix(left + _BASE), mix(right + _BASE))]
+
+    def same(p: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether 2^p characters from x and y on are equal."""
+        if p == len(names):
+            w = 1 << (p - 1)
+            names.append(tuple(mix(h[:-w] * _BASE + h[w:]) for h in names[-1]))
+        l, r = names[p]
+        out = (x < len(l)) & (y < len(r))
+        out[out] = l[x[out]] == r[y[out]]
+        return out
+
+    out = [np.empty((3, 0), np.int32)]
+    start = 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + block, "right")))
+        n = count[start:stop]
+        x = np.repeat(np.arange(start, min(stop, len(a))), n)
+        i = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + low[x]
+        y = by[np.where(i < skip[x], i, i + (go - skip)[x])]
+        length, p, live = np.full(len(x), k), 0, np.arange(len(x))
+        while len(live := live[same(p, x[live] + k, y[live] + k)]):
+            p += 1
+        while p:
+            p -= 1
+            length += same(p, x + length, y + length).astype(np.int64) << p
+        out.append(np.array([x, y, length], np.int32))
+        start = stop
+    return tuple(np.concatenate(out, axis=1))
 
 
 def longest_run(anchors: list[tuple[int, int]], k: int) -> int:
@@ -162,13 +232,16 @@ def chain_proves(lt: str, rt: str, anchors: list[tuple[int, int]], k: int, limit
     return any(sum(grown(lt, rt, x, y, k, limit)) + k >= limit for x, y in anchors)
 
 
-def aligned_chain(lt: str, rt: str, anchors: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int]:
-    """(l_from, l_to, r_from, r_to, matched) of a chain grown at both ends, its gaps aligned from both sides."""
+def aligned_chain(lt: str, rt: str, anchors: list[tuple[int, int]], k: int, sizes: list[int] | None = None) -> tuple[int, int, int, int, int]:
+    """(l_from, l_to, r_from, r_to, matched) of a chain grown at both ends, its gaps aligned from both sides.
+
+    Matches with ``sizes`` are maximal: their chain grows no further."""
     (x0, y0), (x1, y1) = anchors[0], anchors[-1]
-    back = common_prefix(lt[:x0][::-1], rt[:y0][::-1])
-    ahead = common_prefix(lt[x1 + k :], rt[y1 + k :])
-    matched, x, y = back + k + ahead, x0 + k, y0 + k
-    for u, v in anchors[1:]:
+    back = 0 if sizes else common_prefix(lt[:x0][::-1], rt[:y0][::-1])
+    ahead = 0 if sizes else common_prefix(lt[x1 + k :], rt[y1 + k :])
+    sizes = sizes or [k] * len(anchors)
+    matched, x, y = back + sizes[0] + ahead, x0 + sizes[0], y0 + sizes[0]
+    for (u, v), k in zip(anchors[1:], sizes[1:]):
         if u >= x and v >= y:
             gap, other = lt[x:u], rt[y:v]
             head = common_prefix(gap, other)
@@ -176,7 +249,7 @@ def aligned_chain(lt: str, rt: str, anchors: list[tuple[int, int]], k: int) -> t
         else:  # overlapping matches: only what is new counts
             matched += max(0, min(u + k - x, v + k - y))
         x, y = u + k, v + k
-    return x0 - back, x1 + k + ahead, y0 - back, y1 + k + ahead, matched
+    return x0 - back, x + ahead, y0 - back, y + ahead, matched
 
 
 def shares(left: np.ndarray, right: np.ndarray, limit: int) -> bool:
@@ -247,16 +320,35 @@ def _align(k, limit):
 _FUZZY = [("l", pa.int64()), ("r", pa.int64()), *((c, pa.int32()) for c in ("l_from", "l_to", "r_from", "r_to", "matched", "anchors"))]
 
 
-def _fuzzy(k, limit):
+def whole_chains(lt: str, rt: str, k: int, limit: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(l_from, l_to, r_from, r_to, matched, anchors) of the chains of all maximal matches of two texts, at least ``limit`` characters long in both."""
+    x, y, size = maximal_matches(code_points(lt), code_points(rt), k)
+    for path in chain_paths(x, y, k, size):
+        i, j = path[0], path[-1]
+        if min(x[j] + size[j] - x[i], y[j] + size[j] - y[i]) >= limit:
+            yield *aligned_chain(lt, rt, list(zip(x[path].tolist(), y[path].tolist())), k, size[path].tolist()), len(path)
+
+
+def _fuzzy(k, limit, most=1 << 16):
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in rows], t) for i, (_, t) in enumerate(_FUZZY)], names=[n for n, _ in _FUZZY])
+
     def run(batches):
         for batch in batches:
             rows = []
             for l, r, x, y, lt, rt in zip(*(batch.column(c).to_pylist() for c in ("l", "r", "x", "y", "lt", "rt"))):
+                if x is None:
+                    for found in whole_chains(lt, rt, k, limit):
+                        rows.append((l, r, *found))
+                        if len(rows) == most:
+                            yield made(rows)
+                            rows = []
+                    continue
                 for u, v in zip(x, y):
                     found = aligned_chain(lt, rt, list(zip(u, v)), k)
                     if found[1] - found[0] >= limit and found[3] - found[2] >= limit:
                         rows.append((l, r, *found, len(u)))
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in rows], t) for i, (_, t) in enumerate(_FUZZY)], names=[n for n, _ in _FUZZY])
+            yield made(rows)
 
     return run
 
@@ -306,14 +398,19 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
 
 def fuzzy_passages(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, k: int = K) -> DataFrame:
     """(left_id, right_id, left_from, left_to, right_from, right_to, matched, anchors): aligned chains of at least ``limit`` characters in both
-    texts, between the smallest ids of two classes of equal texts (``span_classes`` gives the membership).
+    texts, between the smallest ids of two classes of equal texts that differ (``span_classes`` gives the membership).
 
-    ``matched`` counts the characters of the alignment that are equal. Repetitive texts have no chain and give no row."""
+    ``matched`` counts the characters of the alignment that are equal, ``anchors`` its matches: of seeds, in repetitive texts maximal ones."""
     texts, members, linked = span_chains(df, key, text, limit, k)
-    rows = pair_texts(linked.where("x IS NOT NULL").drop("proven"), members, texts)
+    rows = pair_texts(linked.drop("proven"), members, texts)
     found = rows.mapInArrow(_fuzzy(k, limit), ", ".join(f"{n} {'long' if n in 'lr' else 'int'}" for n, _ in _FUZZY))
-    least = members.groupBy("node").agg(F.min("id").alias("id"))
-    found = found.join(least.select(F.col("node").alias("l"), F.col("id").alias("left")), "l").join(least.select(F.col("node").alias("r"), F.col("id").alias("right")), "r")
+    two = members.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where("n < 3")
+    two = two.groupBy("node").agg(F.min("id").alias("a"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("b"))
+    side = lambda c: two.select(F.col("node").alias(c), F.col("a").alias(f"{c}1"), F.col("b").alias(f"{c}2"))
+    found = found.join(side("l"), "l").join(side("r"), "r")
+    same = F.col("l1") == F.col("r1")  # a record with several texts: the next id of one of the classes takes its place, the smaller one
+    swap = same & F.col("l2").isNotNull() & (F.col("r2").isNull() | (F.col("l2") < F.col("r2")))
+    found = found.withColumn("left", F.when(swap, F.col("l2")).otherwise(F.col("l1"))).withColumn("right", F.when(same & ~swap, F.col("r2")).otherwise(F.col("r1")))
     turned = F.col("left") > F.col("right")
     pick = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
     out = found.where("left <> right").select(

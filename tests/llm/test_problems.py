@@ -461,6 +461,50 @@ def test_p9_passages(spark):
     assert p9_spans.shared_share(df.limit(0)).count() == 0
 
 
+def test_p9_fuzzy_of_repetitive_texts(spark):
+    """Runs, lines repeated more than eight times and records with several texts lose no passage."""
+    rng = random.Random(29)
+    text = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    line, half, other = text(150), text(150), text(160)
+    lines = lambda n, step: "".join(f"{line}<{i * step}>" for i in range(n))
+    docs = ["x" * 700, "x" * 450 + "y", lines(12, 1) + half + "1" + other, "2" + half + "3" + other + text(90) + lines(10, 7), "4" + half + "5" + other, text(300), lines(40, 3)]
+    df = spark.createDataFrame(list(enumerate(docs)) + [(0, docs[0]), (50, text(30) + docs[5]), (60, text(31) + docs[5]), (60, docs[5]), (70, docs[5][:250]), (70, docs[5][:260]), (80, docs[5][:260])], "doc_id long, text string")
+    rows = p9_spans.fuzzy_passages(df).collect()
+    runs = {tuple(r) for r in rows if (r.left_id, r.right_id) == (0, 1)}
+    assert runs == {(0, 1, x, x + n, y, y + n, n, 1) for x in range(701) for y in range(451) if not (x and y) and (n := min(700 - x, 450 - y)) >= 200}
+    found = {(i, j): [r for r in rows if (r.left_id, r.right_id) == (i, j)] for i in range(7) for j in range(i + 1, 7)}
+    for (i, j), own in found.items():
+        for x in range(len(docs[i]) - 199):
+            y = docs[j].find(docs[i][x : x + 200])
+            while y >= 0:
+                assert any(r.left_from <= x and x + 200 <= r.left_to and r.right_from <= y and y + 200 <= r.right_to for r in own)
+                y = docs[j].find(docs[i][x : x + 200], y + 1)
+    where = docs[2].index(half), docs[3].index(half)
+    assert any(r.left_from <= where[0] and r.left_to >= where[0] + 311 and r.right_from <= where[1] and r.right_to >= where[1] + 311 and r.matched >= 310 for r in found[2, 3])
+    assert len(found[2, 6]) > 20 and all(200 <= r.matched <= min(r.left_to - r.left_from, r.right_to - r.right_from) or r.anchors > 1 for r in rows)
+    assert {(r.left_id, r.right_id) for r in rows} >= {(5, 50), (5, 60), (50, 60), (70, 80)}  # 70 holds two texts, 80 one of them
+
+
+def test_p9_maximal_matches():
+    rng = random.Random(31)
+    for n in range(60):
+        a, b = ("".join(rng.choice("ab🙂"[: 1 + n % 3]) for _ in range(rng.randint(0, 40))) for _ in "lr")
+        b = a[3:17] * (n % 4) + b
+        whole = lambda x, y: p9_spans.common_prefix(a[x:], b[y:])
+        want = {(x, y, whole(x, y)) for x in range(len(a)) for y in range(len(b)) if whole(x, y) >= 4 and (not (x and y) or a[x - 1] != b[y - 1])}
+        for block in (1, 1 << 20):
+            x, y, size = p9_spans.maximal_matches(p9_spans.code_points(a), p9_spans.code_points(b), 4, block)
+            assert set(zip(x.tolist(), y.tolist(), size.tolist())) == want and len(x) == len(want)
+        assert sorted(i for c in p9_spans.chain_paths(x, y, 4, size) for i in c) == list(range(len(x)))
+
+
+def test_p9_chain_far_behind_a_better_one():
+    """Matches of a passage that a long insertion parts from a far better chain still make one chain."""
+    a = list(range(0, 3000, 100)) + [3300, 3380, 3470]
+    b = list(range(0, 3000, 100)) + [90300, 90380, 90470]
+    assert p9_spans.chains(a, b, 104) == [list(range(30)), [30, 31, 32]]
+
+
 def test_p9_chain():
     a, b = [0, 50, 150, 155, 400], [10, 60, 160, 20, 420]
     found = p9_spans.chains(a, b, 104)
